@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .near_duplicates import all_pairs, near_duplicates, record_text
+from .pieces import pieces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -30,3 +31,17 @@ def _records_near(spark: SparkSession, folder: str):
 @query
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return all_pairs(_records_near(spark, folder))
+
+
+@query
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Records that had to be cut, and among them those with a forced cut, read off the pieces."""
+    first = pieces(table(spark, folder, "legal_records"), "row_id", F.col("content"), with_text=False).where("piece_no = 0 and n_pieces > 1")
+    kinds = F.when(F.col("n_forced") > 0, F.array(F.lit("oversized"), F.lit("unbroken"))).otherwise(F.array(F.lit("oversized")))
+    return first.select(F.col("id").alias("row_id"), F.explode(kinds).alias("kind"))
+
+
+@query
+def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """All pieces of all records, in order, with their texts."""
+    return pieces(table(spark, folder, "legal_records"), "row_id", F.col("content")).withColumnRenamed("id", "row_id")
