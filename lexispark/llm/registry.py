@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .leaks import leaks
 from .near_duplicates import all_pairs, near_duplicates, record_text
 from .pieces import pieces
 
@@ -45,3 +46,22 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """All pieces of all records, in order, with their texts."""
     return pieces(table(spark, folder, "legal_records"), "row_id", F.col("content")).withColumnRenamed("id", "row_id")
+
+
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    records, cases = table(spark, folder, "legal_records"), table(spark, folder, "eval_cases")
+    return leaks(records, "row_id", F.col("content"), cases, F.col("id"), F.col("doc"), F.col("query"))
+
+
+@query
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The leaks whose words stand in the record without an edit."""
+    return _leaks(spark, folder).where("exact").select(F.col("id").alias("row_id"), "case_id")
+
+
+@query
+def p2_cases(spark: SparkSession, folder: str) -> DataFrame:
+    """For each leaked case: how many records hold it exactly, and how many more with an edit."""
+    found = _leaks(spark, folder).groupBy("case_id").agg(F.count_if("exact").alias("records"), F.count_if(~F.col("exact")).alias("near_records"))
+    cases = table(spark, folder, "eval_cases").select(F.col("id").alias("case_id"), "suite", "category")
+    return cases.join(found, "case_id")

@@ -125,4 +125,4 @@ def word_text(words: Words, i: int) -> str:
     if a == b:
         return ""
     part = words.chars[words.starts[a] : words.ends[b - 1]]
-    return " ".join(np.where(part == 0, np.uint32(32), part).tobytes().decode("utf-32-le", "surrogatepass").split(" "))
+    return " ".join(np.where(part == 0, np.uint32(32), part).tobytes().decode("utf-32-le", "surrogatepass").split())
