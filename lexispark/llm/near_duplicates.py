@@ -218,6 +218,8 @@ def _add_up(least: int):
 
 
 def _sets_of(size: int, least_words: int, wanted):
+    """Whole shingle sets of the wanted records, as hashes of 40 bits: two sets of 1000 agree by chance once in 10**6."""
+
     def run(batches):
         bits = wanted.value
         for batch in batches:
@@ -232,7 +234,7 @@ def _sets_of(size: int, least_words: int, wanted):
                 if not len(doc):
                     continue
                 edge = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]]))
-                yield pa.record_batch({"id": pa.array(ids[at + doc[edge[:-1]]], pa.int64()), "shingles": pa.array([hashes[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True)], pa.binary())})
+                yield pa.record_batch({"id": pa.array(ids[at + doc[edge[:-1]]], pa.int64()), "shingles": pa.array([sh.pack(hashes[i:j] >> _U(24)) for i, j in zip(edge[:-1], edge[1:], strict=True)], pa.binary())})
 
     return run
 
@@ -244,7 +246,7 @@ def _compare(threshold: float):
             common = np.zeros(len(left), np.int64)
             a, b = (np.array([len(x) // 8 for x in side], np.int64) for side in (left, right))
             for i, (x, y) in enumerate(zip(left, right, strict=True)):
-                both = np.concatenate([np.frombuffer(x, _U), np.frombuffer(y, _U)])
+                both = np.concatenate([*sh.unpack(x, _U), *sh.unpack(y, _U)])
                 both.sort()
                 common[i] = np.count_nonzero(both[1:] == both[:-1])
             keep = np.flatnonzero(sh.similar(common, a, b, threshold))
