@@ -188,9 +188,9 @@ def _multiply(threshold: float, parts: int):
             need = sh.needed(n[left], n[right], threshold)
             ok = (position[left] < n[left] - need + LEAST) & (position[right] < n[right] - need + LEAST)
             ok &= ((side[left] == 0) | (side[left] != side[right])) & (row[left] != row[right])
-            left, right = left[ok], right[ok]
+            left, right, need = left[ok], right[ok], need[ok]
             low, high = np.minimum(index[left], index[right]), np.maximum(index[left], index[right])
-            found.append(low * len(rows) + high)
+            found.append(np.repeat(low * len(rows) + high, np.where(need < LEAST, LEAST, 1)))  # small sets may have to share fewer
             held += len(low)
             if held > 8_000_000:
                 yield emit(found, rows)
