@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import written
+from .groups import contract, grouped_splits, tie_key, tied_groups
 from .leaks import leaks
+from .lookalikes import canonical_texts, same_looking
 from .near_duplicates import all_pairs, near_duplicates, record_text
+from .overlaps import overlaps, row_pairs
 from .pieces import pieces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +70,76 @@ def p2_cases(spark: SparkSession, folder: str) -> DataFrame:
     found = _leaks(spark, folder).groupBy("case_id").agg(F.count_if("exact").alias("records"), F.count_if(~F.col("exact")).alias("near_records"))
     cases = table(spark, folder, "eval_cases").select(F.col("id").alias("case_id"), "suite", "category")
     return cases.join(found, "case_id")
+
+
+def _keys():
+    return [F.col("jurisdiction"), F.col("doc_id")]
+
+
+@query
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Records of the groups that join at least two jurisdictions."""
+    found = tied_groups(table(spark, folder, "legal_records"), "row_id", _keys()).records
+    return found.where("values > 1").select(F.col("id").alias("row_id"), F.col("group").alias("group_row"))
+
+
+@query
+def p5_splits(spark: SparkSession, folder: str) -> DataFrame:
+    """The split of every record."""
+    targets = [tuple(r) for r in table(spark, folder, "split_targets").select("split_name", "share").orderBy(F.desc("share"), "split_name").collect()]
+    return grouped_splits(table(spark, folder, "legal_records"), "row_id", _keys(), targets).withColumnRenamed("id", "row_id")
+
+
+@query
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Every compared record with its exact-copy class, its group of near-duplicates and its class's number of links."""
+    found = _records_near(spark, folder)
+    pairs = written(found.pairs, "pairs")
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    links = both.groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("links"))
+    roots = contract(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("vertex").alias("rep"), "root")
+    smallest = roots.groupBy("root").agg(F.min("rep").alias("group_row"))
+    grouped = roots.join(smallest, "root").select("rep", "group_row")
+    rows = found.members.join(grouped, "rep", "left").join(links, "rep", "left")
+    return rows.select(F.col("id").alias("row_id"), F.col("rep").alias("class_row"), F.coalesce("group_row", "rep").alias("group_row"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def _split_overlaps(spark: SparkSession, folder: str):
+    splits = [table(spark, folder, f"contrastive_{s}").select("pair_id", "doc_id", "query", "content", F.lit(s).alias("part")) for s in ("train", "val", "test")]
+    rows = reduce(DataFrame.unionByName, splits)
+    rows = rows.select("pair_id", "doc_id", "part", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in ("content", "query")])).alias("x"))
+    return overlaps(rows, "pair_id", F.col("x.field"), F.col("x.text"), F.col("part") == "train", keep=("doc_id", "part"), whole=("query",), threshold=0.6, size=3)
+
+
+@query
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair of a held-out and a training row with similar contents or equal queries."""
+    pairs = row_pairs(_split_overlaps(spark, folder))
+    return pairs.select(F.least("eval_id", "train_id").alias("pair_id_a"), F.greatest("eval_id", "train_id").alias("pair_id_b"), "field")
+
+
+@query
+def p3_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Held-out rows, and those that overlap with the training split, per split, field and jurisdiction of their record."""
+    found = _split_overlaps(spark, folder)
+    key = tie_key(F.col("doc_id"))
+    named = table(spark, folder, "legal_records").select(key.alias("doc"), "row_id", tie_key(F.col("jurisdiction")).alias("jurisdiction")).where("doc is not null and jurisdiction is not null")
+    named = named.groupBy("doc").agg(F.min_by("jurisdiction", "row_id").alias("jurisdiction"))
+    hit = found.pairs.groupBy(F.col("eval_class").alias("class")).agg(F.max("similarity").alias("similarity"))
+    rows = found.members.where(~F.col("is_train")).join(hit, "class", "left").withColumn("doc", key).join(named, "doc", "left")
+    by = rows.groupBy(F.col("part").alias("split"), "field", F.coalesce("jurisdiction", F.lit("unknown")).alias("jurisdiction"))
+    return by.agg(F.count("*").alias("rows"), F.count("similarity").alias("overlapping"), F.count_if(F.col("similarity") >= 1.0).alias("equal"))
+
+
+@query
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that look the same and are stored differently."""
+    found = same_looking(table(spark, folder, "documents"), "doc_id", F.col("text"))
+    return found.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
+
+
+@query
+def p8_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The consistent form of every document."""
+    forms = canonical_texts(table(spark, folder, "documents"), "doc_id", F.col("text"))
+    return forms.select(F.col("id").alias("doc_id"), F.col("canonical").alias("text"), (F.col("text") != F.col("canonical")).alias("changed"))
