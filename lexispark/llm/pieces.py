@@ -51,7 +51,7 @@ def cut_positions(text: str, limit: int) -> tuple[list[int], list[str]]:
         solid.append((begin, start))
         if stop < n:
             ends[stop] = kind
-        if stop - start > 1 or stop == n:
+        if stop - start > 1 or stop == n or stop - begin > limit:  # a full stretch must do without the space after it
             ends.update((p, "outer") for p in range(start, min(stop, n), limit) if p and p not in ends)
         begin = stop
     if begin < n:
