@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from functools import reduce
 
@@ -12,13 +13,27 @@ from ..storage import written
 from .groups import contract, grouped_splits, tie_key, tied_groups
 from .leaks import leaks
 from .lookalikes import canonical_texts, same_looking
+from .mixing import mix
 from .near_duplicates import all_pairs, near_duplicates, record_text
 from .overlaps import overlaps, row_pairs
+from .packing import fill_report, pack
 from .pieces import pieces
+from .tokens import limited, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+#: Vocabulary that lengths are counted in: a public file, outside this repository.
+VOCABULARY = os.environ.get("LEXISPARK_VOCABULARY", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
+#: Domain of each source of the mixture (a parameter of the operator; these are the test corpus's sources).
+DOMAINS = {
+    **dict.fromkeys(("greffe-central", "jurispro", "arbitrage", "chambre-travail", "sentences-etrangeres", "droit-maritime", "protection-mineurs"), "decisions"),
+    **dict.fromkeys(("recueil-baux", "actes-notaires", "marches-publics", "brevets"), "deeds"),
+    **dict.fromkeys(("bulletin-fiscal", "avis-communaux", "glossaire", "traductions"), "publications"),
+    **dict.fromkeys(("notes-cliniques", "ordre-medecins"), "medicine"),
+    "forum-usagers": "forum",
+}
+
 
 def query(f):
     QUERIES[f.__name__] = f
@@ -143,3 +158,39 @@ def p8_texts(spark: SparkSession, folder: str) -> DataFrame:
     """The consistent form of every document."""
     forms = canonical_texts(table(spark, folder, "documents"), "doc_id", F.col("text"))
     return forms.select(F.col("id").alias("doc_id"), F.col("canonical").alias("text"), (F.col("text") != F.col("canonical")).alias("changed"))
+
+
+def _packed(spark: SparkSession, folder: str) -> DataFrame:
+    counted = token_counts(table(spark, folder, "documents"), {"id": F.col("doc_id")}, F.col("text"), VOCABULARY)
+    profiles = limited(table(spark, folder, "pack_limits").select("profile", "capacity_tokens").orderBy("capacity_tokens", "profile"), 100, "profiles")
+    return pack(counted, [tuple(p) for p in profiles])
+
+
+@query
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """The container of every document, or of each of its pieces, for each profile."""
+    return _packed(spark, folder).withColumnRenamed("id", "doc_id")
+
+
+@query
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How well the containers of each profile are filled."""
+    return fill_report(_packed(spark, folder))
+
+
+def _mixture(spark: SparkSession, folder: str):
+    columns = {"id": F.col("doc_id"), "source": F.col("source"), "lang": F.col("lang")}
+    counted = token_counts(table(spark, folder, "documents"), columns, F.col("text"), VOCABULARY)
+    return mix(counted, table(spark, folder, "mix_targets"), DOMAINS)
+
+
+@query
+def p7_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of the mixture, and how often each is used."""
+    return _mixture(spark, folder).documents.withColumnRenamed("id", "doc_id")
+
+
+@query
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and reached share of every source."""
+    return _mixture(spark, folder).shares
