@@ -1,10 +1,280 @@
-"""Queries of the core operators and the SQL that gives the same rows."""
+"""Queries of the core operators, each over its whole tables, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.text import sigmoid
+from .operators import calibration, metrics
+from .operators.lexical import Bm25, coverage, term_stats
+from .operators.passages import passages
+from .operators.scoring import decide, decision_stats, keyword_score, overlap_share, prune
+from .operators.search import best_sentence, group_by_file, matching_words, search
+from .operators.training_pairs import build_pairs, clean_records, shared_between_splits, unlabelled
+from .operators.vectors import missing, nearest
+from .plans.evaluation import scored_cases, suite_report
+from .sources.files import unique_names, why_skipped
+from .sql import SQL
+from .storage import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def asked_queries(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "eval_cases").groupBy("query").agg(F.min("id").alias("qid"))
+
+
+def training_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, [table(spark, folder, f"contrastive_{s}") for s in ("train", "val", "test")])
+
+
+def scored_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    rows = training_pairs(spark, folder).select("pair_id", "query", "content", "label", "type", "split", "teacher")
+    return rows.withColumn("score", keyword_score(F.col("query"), F.col("content"))).withColumn("overlap", overlap_share(F.col("query"), F.col("content")))
+
+
+def six(*columns: str):
+    return [F.round(c, 6).alias(c) for c in columns]
+
+
+@query
+def bm25_topk(spark, folder):
+    """The ten best records for each judged query."""
+    top = Bm25(table(spark, folder, "legal_records"), "row_id", "content").top(asked_queries(spark, folder), "qid", "query", 10)
+    return top.select("qid", "rank", F.col("pid").alias("row_id"), *six("bm25"))
+
+
+@query
+def idf_table(spark, folder):
+    return term_stats(table(spark, folder, "legal_records"), "content").select("term", "df", *six("idf"))
+
+
+@query
+def idf_coverage(spark, folder):
+    cases = table(spark, folder, "eval_cases")
+    return coverage(cases, "query", "doc", term_stats(cases, "doc")).select("id", *six("coverage"))
+
+
+@query
+def keyword_rule(spark, folder):
+    return scored_pairs(spark, folder).select("pair_id", "score")
+
+
+@query
+def overlap(spark, folder):
+    return scored_pairs(spark, folder).select("pair_id", *six("overlap"))
+
+
+@query
+def prune_pairs(spark, folder):
+    """Candidates of each query that score at least 0.5, best first."""
+    kept = prune(scored_pairs(spark, folder), 0.5, "query", "score", "pair_id")
+    return kept.select("pair_id", "score", "rank")
+
+
+@query
+def rank_pairs(spark, folder):
+    ranked = prune(scored_pairs(spark, folder), 0.0, "query", "score", "pair_id")
+    return ranked.select("pair_id", "rank")
+
+
+@query
+def cascade_direct(spark, folder):
+    return decide(scored_pairs(spark, folder)).select("pair_id", "decision", "kept", "final_score")
+
+
+@query
+def cascade_two_tiers(spark, folder):
+    decided = decide(scored_pairs(spark, folder), tier2="teacher")
+    return decided.select("pair_id", "decision", "kept", *six("final_score"))
+
+
+@query
+def cascade_stats(spark, folder):
+    return decision_stats(decide(scored_pairs(spark, folder), tier2="teacher"))
+
+
+@query
+def auc(spark, folder):
+    return metrics.roc_auc(scored_pairs(spark, folder), ["split"]).select("split", *six("auc"))
+
+
+@query
+def query_auc(spark, folder):
+    return metrics.query_auc(scored_pairs(spark, folder), ["split"], "query").select("split", *six("query_auc"))
+
+
+@query
+def binary_metrics(spark, folder):
+    found = metrics.binary_metrics(scored_pairs(spark, folder), ["split"])
+    return found.select("split", "n", "tp", "fp", "tn", "fn", *six("accuracy", "precision", "recall", "f1"))
+
+
+@query
+def calibration_error(spark, folder):
+    return metrics.calibration_error(scored_pairs(spark, folder), ["split"]).select("split", *six("ece", "mce", "brier"))
+
+
+@query
+def log_loss(spark, folder):
+    return metrics.log_loss(scored_pairs(spark, folder), ["split"]).select("split", *six("log_loss"))
+
+
+@query
+def category_accuracy(spark, folder):
+    return metrics.category_accuracy(scored_pairs(spark, folder), ["split"], "type")
+
+
+@query
+def traps_fooled(spark, folder):
+    cases = table(spark, folder, "eval_cases").withColumn("score", keyword_score(F.col("query"), F.col("doc")))
+    return metrics.traps_fooled(cases, ["suite"], "category")
+
+
+@query
+def suite_metrics(spark, folder):
+    """All metrics of every scorer on every suite."""
+    found = suite_report(table(spark, folder, "eval_cases"))
+    return found.select("suite", "scorer", "n", "tp", "fp", "tn", "fn", *six("accuracy", "auc", "query_auc"))
+
+
+@query
+def bootstrap_accuracy(spark, folder):
+    return metrics.bootstrap_accuracy(scored_pairs(spark, folder), ["split"])
+
+
+@query
+def platt_fit(spark, folder):
+    """Scaling of the keyword score, fitted on the validation split."""
+    a, b = calibration.fit_platt(scored_pairs(spark, folder).where("split = 'val'"))
+    return spark.createDataFrame([(float(a), float(b))], "a double, b double")
+
+
+@query
+def platt_apply(spark, folder):
+    return scored_pairs(spark, folder).select("pair_id", F.round(calibration.apply_platt(F.col("score"), 4.0, -2.0), 6).alias("probability"))
+
+
+@query
+def temperature_fit(spark, folder):
+    """Temperature of the keyword score's logit, fitted on the validation split, and the loss before and after."""
+    rows = scored_pairs(spark, folder).where("split = 'val'").withColumn("logit", F.log(F.greatest("score", F.lit(0.005)) / (1 - F.greatest("score", F.lit(0.005)))))
+    t = calibration.fit_temperature(rows)
+    loss = metrics.log_loss(rows.withColumn("after", sigmoid(F.col("logit") / t)), [], score="after")
+    return loss.select(F.lit(t).alias("temperature"), F.col("log_loss").alias("loss_after"))
+
+
+@query
+def blended_targets(spark, folder):
+    rows = training_pairs(spark, folder)
+    return rows.select("pair_id", F.round(calibration.blended_target(F.col("label"), F.col("teacher"), 0.3), 6).alias("target"))
+
+
+@query
+def training_records(spark, folder):
+    """Cleaned, distinct records with their id, split and category."""
+    rows = clean_records(table(spark, folder, "legal_records"), "row_id")
+    return rows.select("doc_id", "jurisdiction", "split", "category", F.length("content").alias("n_chars"))
+
+
+@query
+def mined_pairs(spark, folder):
+    """Positive, hard-negative and random-negative pairs mined from all cleaned records."""
+    return build_pairs(clean_records(table(spark, folder, "legal_records"), "row_id"))
+
+
+@query
+def split_leaks(spark, folder):
+    return shared_between_splits(training_pairs(spark, folder)).select("query", F.array_join("splits", ",").alias("splits"))
+
+
+@query
+def unlabelled_pairs(spark, folder):
+    rows = training_pairs(spark, folder)
+    return unlabelled(rows, rows.where("teacher is not null")).select("pair_id", "split")
+
+
+@query
+def document_passages(spark, folder):
+    found = passages(table(spark, folder, "documents"), "doc_id", F.col("text"), F.col("file_name"))
+    return found.select("passage_id", F.col("doc").alias("doc_id"), "passage_no", "line_start", "line_end", "shared_prev", F.length("body").alias("n_chars"))
+
+
+def _found(spark, folder):
+    found = written(passages(table(spark, folder, "legal_records"), "row_id", F.col("content"), F.col("source_file")), "passages")
+    return search(asked_queries(spark, folder), "qid", "query", found)
+
+
+@query
+def search_results(spark, folder):
+    """Results and near misses of every judged query over the passages of all records."""
+    return _found(spark, folder)
+
+
+@query
+def search_files(spark, folder):
+    return group_by_file(_found(spark, folder))
+
+
+@query
+def highlights(spark, folder):
+    """The best sentence of each case's doc, by the weight of its query's terms, and the words that match."""
+    cases = table(spark, folder, "eval_cases")
+    from .functions.text import terms
+
+    stats = term_stats(cases, "doc")
+    asked = cases.select("id", "doc", F.array_distinct(terms(F.col("query"))).alias("asked"))
+    weights = asked.select("id", F.explode("asked").alias("term")).join(stats, "term").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("w"))
+    rows = asked.join(weights, "id", "left")
+    sentence = best_sentence(F.col("doc"), F.col("asked"), F.coalesce("w", F.create_map().cast("map<string,double>")))
+    return rows.select("id", sentence.alias("sentence"), F.array_join(matching_words(F.col("doc"), F.col("asked")), " ").alias("words"))
+
+
+@query
+def cosine_topk(spark, folder):
+    """The ten nearest vectors of every vector whose id is divisible by 50, among all vectors."""
+    rows = table(spark, folder, "embeddings")
+    found = nearest(rows.where("vec_id % 50 = 0"), rows, "vec_id", "embedding", 10)
+    return found.select("qid", "rank", "pid", F.round("cosine", 5).alias("cosine"))
+
+
+@query
+def vector_store_gaps(spark, folder):
+    """Texts of the pairs that a store filled from the training split has no vector for."""
+    rows = training_pairs(spark, folder)
+    store = rows.where("split = 'train'").select(F.sha2("content", 256).alias("text_key")).distinct()
+    return missing(rows, "content", store).select("text_key")
+
+
+@query
+def uploaded_names(spark, folder):
+    """File names made unique in order of row id: the second of a name gets (1), and so on."""
+    return unique_names(table(spark, folder, "legal_records"), "source_file", "row_id").select("row_id", "unique_name")
+
+
+@query
+def skipped_files(spark, folder):
+    """How many documents a scan would take or skip, by reason."""
+    rows = table(spark, folder, "documents").withColumn("reason", why_skipped(F.col("file_name"), F.col("n_chars")))
+    return rows.groupBy(F.coalesce("reason", F.lit("taken")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query
+def cases_scored(spark, folder):
+    return scored_cases(table(spark, folder, "eval_cases")).select("id", "scorer", *six("score"))
+
+
