@@ -30,7 +30,7 @@ def _seeded(seed: int, *keys: Column) -> Column:
 
 
 def _row(frame: DataFrame, label: float, kind: str) -> DataFrame:
-    return frame.select("query", "content", F.lit(label).alias("label"), F.lit(kind).alias("type"), "category", "doc_id", "split")
+    return frame.select("query", "content", F.lit(label).alias("label"), F.lit(kind).alias("type"), "category", "doc_id", "split", "own")
 
 
 def positives(records: DataFrame, extra_queries: DataFrame | None = None) -> DataFrame:
@@ -65,7 +65,7 @@ def hard_negatives(asked: DataFrame, records: DataFrame, pool: int = 10, n: int
     top = scored.select("qid", "query", "split", "pid", "own", "title", "other", "bm25").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= pool + 1)
     others = top.where((F.col("pid") != F.col("own")) & (F.col("title") != F.col("other")))
     drawn = others.withColumn("draw", F.row_number().over(Window.partitionBy("qid").orderBy(_seeded(seed, F.col("qid"), F.col("pid"))))).where(F.col("draw") <= n)
-    return drawn.select("query", F.col("pid").alias("doc_id"), "split")
+    return drawn.select("query", F.col("pid").alias("doc_id"), "split", "own")
 
 
 def random_negatives(asked: DataFrame, records: DataFrame, n: int = 1, seed: int = 42, look: int = 8, buckets: int = 64) -> DataFrame:
@@ -80,7 +80,7 @@ def random_negatives(asked: DataFrame, records: DataFrame, n: int = 1, seed: int
     placed = placed.withColumn("near", F.filter(F.array(*after), lambda x: x["doc_id"].isNotNull() & (x["title"] != F.col("title"))))
     other = F.filter("near", lambda x: ~x["jurisdiction"].eqNullSafe(F.col("jurisdiction")))
     chosen = placed.select(F.col("doc_id").alias("own"), F.explode(F.slice(F.when(F.size(other) > 0, other).otherwise(F.col("near")), 1, n)).alias("x"))
-    return asked.select("query", "split", F.col("doc_id").alias("own")).join(chosen, "own").select("query", F.col("x.doc_id").alias("doc_id"), "split")
+    return asked.select("query", "split", F.col("doc_id").alias("own")).join(chosen, "own").select("query", F.col("x.doc_id").alias("doc_id"), "split", "own")
 
 
 def build_pairs(records: DataFrame, extra_queries: DataFrame | None = None, n_hard: int = 1, n_random: int = 1, pool: int = 10, seed: int = 42) -> DataFrame:
@@ -89,8 +89,8 @@ def build_pairs(records: DataFrame, extra_queries: DataFrame | None = None, n_ha
     held = records.select("doc_id", "content", "category")
     hard = hard_negatives(asked, records, pool, n_hard, seed).join(held, "doc_id")
     rand = random_negatives(asked, records, n_random, seed).join(held, "doc_id")
-    rows = _row(asked, 1.0, "positive").unionByName(_row(hard, 0.0, "hard_negative")).unionByName(_row(rand, 0.0, "random_negative"))
-    return rows.withColumn("pair_id", F.concat_ws("-", "split", F.substring(_seeded(seed, F.col("query"), F.col("doc_id"), F.col("type")), 1, 16)))
+    rows = _row(asked.withColumn("own", F.col("doc_id")), 1.0, "positive").unionByName(_row(hard, 0.0, "hard_negative")).unionByName(_row(rand, 0.0, "random_negative"))
+    return rows.withColumn("pair_id", F.concat_ws("-", "split", F.substring(_seeded(seed, F.col("query"), F.col("own"), F.col("doc_id"), F.col("type")), 1, 16))).drop("own")
 
 
 def shared_between_splits(rows: DataFrame, value: str = "query", split: str = "split") -> DataFrame:

@@ -79,7 +79,7 @@ def _texts(batches):
 def scan_folder(spark: SparkSession, folder: str, max_bytes: int = MAX_BYTES, max_files: int = MAX_FILES) -> tuple[DataFrame, DataFrame]:
     """(documents: path, file_name, text; skipped: path, reason) of all files below a folder.
 
-    Names and sizes decide first, from the listing alone; contents are read of the files that are taken, the first
+    Spark's listing leaves out names that begin with a dot or an underscore. Names and sizes decide first, from the listing alone; contents are read of the files that are taken, the first
     ``max_files`` by path.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
