@@ -32,7 +32,6 @@ LOOK_ALIKE = dict(
 _STANDS_FOR = ("<wide>", "<narrow>", "<compat>", "<noBreak>", "<font>", "<square>", "<initial>", "<medial>", "<final>", "<isolated>")
 _FILLERS = "͏ᅟᅠ឴឵ㅤﾠ"
 _TOKEN = re.compile(r"[^ \n\t\r\v\f]+")
-_NEAR = 0
 
 
 def shows_nothing(ch: str) -> bool:
@@ -136,37 +135,63 @@ class Trie:
         return min(ends)[2] if ends else None
 
 
+def _spaces() -> re.Pattern:
+    return re.compile("[" + "".join(chr(c) for c in range(0x80, 0x3001) if unicodedata.category(chr(c)) == "Zs") + "]")
+
+
+_ODD_SPACE, _LINE_END = _spaces(), re.compile("\r\n?")
+
+
+def spaced(text: str) -> str:
+    """Every kind of single space as a space, every line end as LF."""
+    if "\r" in text:
+        text = _LINE_END.sub("\n", text)
+    return text if text.isascii() else _ODD_SPACE.sub(" ", text)
+
+
+@lru_cache(1)
+def odd_characters() -> str:
+    """Pattern of the characters that aren't stored plainly or have a Latin double or an accent apart."""
+    stable = [cp for cp in (*range(0x80), *range(0xA1, 0x250), *range(0x1E00, 0x1F00), *range(0x2012, 0x2060), *range(0x20A0, 0x20C0)) if skeleton(chr(cp)) == chr(cp) and not unicodedata.combining(chr(cp))]
+    ranges, begin = [], stable[0]
+    for cp, following in zip(stable, [*stable[1:], -1], strict=True):
+        if following != cp + 1:
+            ranges.append(f"\\x{{{begin:X}}}-\\x{{{cp:X}}}")
+            begin = following
+    return "[^" + "".join(ranges) + "]"
+
+
+@lru_cache(1 << 18)
+def odd_form(word: str) -> str | None:
+    """Skeleton of a word that isn't plainly spelled; null for one that is its own skeleton in letters of one script."""
+    if word.isascii() and word.isprintable():
+        return None
+    form = skeleton(word)
+    return None if form == word and clean(word) else form
+
+
 def _vocabulary(batches):
-    """Words of each batch that aren't their own skeleton, and the skeleton's other spellings as far as they are Latin."""
+    """Words of each batch, with their skeleton where it isn't the word itself."""
     for batch in batches:
         counts: Counter = Counter()
         for text in batch.column(0).to_pylist():
             if text is not None:
                 counts.update(_TOKEN.findall(spaced(text)))
         words = list(counts)
-        forms = [skeleton(w) for w in words]
-        yield pa.record_batch({"word": pa.array(words, pa.string()), "form": pa.array(forms, pa.string()), "count": pa.array([counts[w] for w in words], pa.int64())})
-
-
-_SPACES = {c: " " for c in range(0x3001) if unicodedata.category(chr(c)) == "Zs"}
-
-
-def spaced(text: str) -> str:
-    """Every kind of single space as a space, every line end as LF."""
-    return text if text.isascii() and "\r" not in text else text.replace("\r\n", "\n").replace("\r", "\n").translate(_SPACES)
+        forms = [odd_form(w) for w in words]
+        yield pa.record_batch({"word": pa.array(words, pa.string()), "form": pa.array(forms, pa.string()), "count": pa.array(counts.values(), pa.int64())})
 
 
 def _spellings(batches):
-    """Canonical spelling of each word of the partition's skeletons (all spellings of a skeleton are in one partition)."""
-    rows = [(w, f, n) for batch in batches for w, f, n in zip(*(batch.column(k).to_pylist() for k in ("word", "form", "count")), strict=True)]
+    """Canonical spelling of each word that isn't its own skeleton; all spellings of a skeleton are in one partition."""
+    rows = [r for batch in batches for r in zip(*(batch.column(k).to_pylist() for k in ("word", "form", "count", "pure")), strict=True)]
     trie = Trie()
-    pure = {w for w, f, _ in rows if w == f}
-    for w, f, n in rows:
-        if clean(w) and (w == f or f not in pure):  # where the skeleton itself is a word, it is the spelling
-            trie.add(w, n)
-    out = [(w, trie.nearest(w, _NEAR)) for w, f, _ in rows if w != f]
-    out = [(w, s if s is not None else by_table(skeleton(w))) for w, s in out]
-    out = [(w, s) for w, s in out if w != s]
+    for word, form, count, pure in rows:
+        if pure:  # where the skeleton itself is a word, it is the spelling
+            trie.add(form, count)
+        elif clean(word):
+            trie.add(word, count)
+    out = [(word, spelling) for word, form, _, _ in rows if (spelling := trie.nearest(word) or by_table(form)) != word]
     yield pa.record_batch({"word": pa.array([w for w, _ in out], pa.string()), "spelling": pa.array([s for _, s in out], pa.string())})
 
 
@@ -174,10 +199,9 @@ def _odd_words(batches):
     for batch in batches:
         ids, words = [], []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if text is not None and not text.isascii():
-                for word in {w for w in _TOKEN.findall(spaced(text)) if not w.isascii() and skeleton(w) != w}:
-                    ids.append(key)
-                    words.append(word)
+            for word in {w for w in _TOKEN.findall(spaced(text)) if odd_form(w) is not None}:
+                ids.append(key)
+                words.append(word)
         yield pa.record_batch({"id": pa.array(ids, batch.schema.field(0).type), "word": pa.array(words, pa.string())})
 
 
@@ -185,13 +209,10 @@ def _rewritten(batches):
     for batch in batches:
         out = []
         for text, words in zip(batch.column("text").to_pylist(), batch.column("words").to_pylist(), strict=True):
-            if text is None:
-                out.append(None)
-                continue
             text = spaced(text)
             if words:
-                change = dict((w["word"], w["spelling"]) for w in words)
-                text = _TOKEN.sub(lambda m: change.get(m.group(), m.group()), text)
+                change = {w["word"]: w["spelling"] for w in words}
+                text = _TOKEN.sub(lambda m, change=change: change.get(m.group(), m.group()), text)
             out.append(text)
         yield pa.record_batch({"id": batch.column("id"), "text": batch.column("text"), "canonical": pa.array(out, pa.string())})
 
@@ -199,20 +220,24 @@ def _rewritten(batches):
 def canonical_texts(items: DataFrame, id_column: str, text: Column) -> DataFrame:
     """id, text and its consistent form ``canonical``; equal for texts that look the same, and looking like the text.
 
-    A null text stays null and an empty one empty.  Ids must be unique.  All words of all texts are in the vocabulary;
-    only words that aren't their own skeleton are looked up, which leaves out nearly all Latin words.
+    A null text stays null and an empty one empty.  Ids must be unique.  The words of all texts are in the vocabulary,
+    those that are their own skeleton by its hash alone; only texts that hold an odd character are joined with the
+    spellings of their odd words, all others keep their words as they are and are never shuffled.
     """
     rows = items.select(F.col(id_column).alias("id"), text.alias("text"))
-    counted = rows.select("text").mapInArrow(_vocabulary, "word string, form string, count bigint")
-    counted = counted.groupBy("form", "word").agg(F.sum("count").alias("count"))
-    odd = counted.where("word != form").select("form").distinct()
-    known = counted.join(odd, "form", "left_semi")
-    spellings = known.repartition("form").mapInArrow(_spellings, "word string, spelling string")
     kind = items.schema[id_column].dataType.simpleString()
-    wanted = rows.mapInArrow(_odd_words, f"id {kind}, word string")
-    changes = wanted.join(written(spellings, "spellings"), "word").groupBy("id").agg(F.collect_list(F.struct("word", "spelling")).alias("words"))
-    joined = rows.join(changes, "id", "left")
-    return joined.select("id", "text", "words").mapInArrow(_rewritten, f"id {kind}, text string, canonical string")
+    counted = rows.select("text").mapInArrow(_vocabulary, "word string, form string, count bigint")
+    by_form = counted.select(F.xxhash64(F.coalesce("form", "word")).alias("key"), F.when(F.col("form").isNotNull(), F.col("word")).alias("word"), "form", "count").repartition("key")
+    by_form = by_form.groupBy("key", "word", "form").agg(F.sum("count").alias("count"))
+    by_form = by_form.groupBy("key").agg(F.max(F.col("word").isNull()).alias("pure"), F.collect_list(F.when(F.col("word").isNotNull(), F.struct("word", "form", "count"))).alias("odd"))
+    known = by_form.select("pure", F.explode("odd").alias("x")).select("x.word", "x.form", "x.count", "pure")
+    spellings = written(known.mapInArrow(_spellings, "word string, spelling string"), "spellings")
+    odd = rows.where(F.col("text").rlike(odd_characters()))
+    wanted = odd.mapInArrow(_odd_words, f"id {kind}, word string")
+    changes = wanted.join(spellings, "word").groupBy("id").agg(F.collect_list(F.struct("word", "spelling")).alias("words"))
+    changed = odd.join(changes, "id", "left").select("id", "text", "words").mapInArrow(_rewritten, f"id {kind}, text string, canonical string")
+    same = rows.where(F.col("text").isNull() | ~F.col("text").rlike(odd_characters()))
+    return changed.unionByName(same.select("id", "text", F.regexp_replace("text", "\r\n?", "\n").alias("canonical")))
 
 
 def same_looking(items: DataFrame, id_column: str, text: Column) -> DataFrame:
