@@ -84,9 +84,10 @@ def fold_accents(text: Column, compatibility: bool = False) -> Column:
 
 def light_stem(word: Column) -> Column:
     """Plural and final e off, then seven letters; words of up to four letters and those with digits stay."""
-    one = F.regexp_replace(word, "[sx]$", "")
-    two = F.when((F.length(one) > 4) & one.endswith("e"), F.regexp_replace(one, "e$", "")).otherwise(one)
-    return F.when((F.length(word) <= 4) | ~word.rlike(r"^\p{L}+$"), word).otherwise(F.substring(two, 1, 7))
+    shorter = lambda w: F.substring(w, F.lit(1), F.length(w) - 1)
+    one = F.when(word.endswith("s") | word.endswith("x"), shorter(word)).otherwise(word)
+    two = F.when((F.length(one) > 4) & one.endswith("e"), shorter(one)).otherwise(one)
+    return F.when((F.length(word) <= 4) | word.rlike(r"[\p{N}_]"), word).otherwise(F.substring(two, 1, 7))
 
 
 def terms(text: Column, stem: bool = True, stopwords: bool = False, compatibility: bool = False) -> Column:

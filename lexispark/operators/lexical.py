@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import terms
+from ..storage import small, written
 
 K1, B = 1.2, 0.75
 
@@ -55,21 +56,24 @@ class Bm25:
     def scores(self, queries: DataFrame, query_key: str, query_text: str) -> DataFrame:
         """qid, pid, bm25 for every passage that shares a term with the query; repeated query terms count once.
 
-        The terms of the queries are the small side: passages whose terms meet none of them are left out by a semi join
-        before anything is shuffled on terms, and partial sums are added per (query, passage).
+        The terms of the queries are the small side: postings are kept of these only, by a semi join before anything is
+        shuffled on terms, and written once; the corpus size is observed in the same pass.  Partial sums are added per
+        (query, passage).
         """
         asked = queries.select(F.col(query_key).alias("qid"), F.explode(F.array_distinct(terms(F.col(query_text), compatibility=self.compatibility))).alias("term"))
-        wanted = asked.select("term").distinct()
+        wanted = small(asked.select("term").distinct())
         rows = self.passages.select(F.col(self.key).alias("pid"), terms(F.col(self.text), compatibility=self.compatibility).alias("terms"))
-        size = rows.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("mean_length"))
-        held = rows.select("pid", F.size("terms").alias("length"), F.explode("terms").alias("term")).join(wanted, "term", "left_semi")
-        postings = held.groupBy("pid", "length", "term").agg(F.count("*").alias("tf"))
+        seen = Observation()
+        rows = rows.select("pid", "terms", F.size("terms").alias("length")).observe(seen, F.count(F.lit(1)).alias("n"), F.sum("length").alias("total"))
+        held = rows.select("pid", "length", F.explode("terms").alias("term")).join(wanted, "term", "left_semi")
+        postings = written(held.groupBy("pid", "length", "term").agg(F.count("*").alias("tf")), "postings")
+        n, total = seen.get["n"], seen.get["total"] or 0
         frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
-        weights = frequency.crossJoin(F.broadcast(size)).select("term", idf(F.col("n"), F.col("df")).alias("idf"), "mean_length")
-        tf, length = F.col("tf"), F.col("length")
-        norm = self.k1 * (1.0 - self.b + self.b * length / F.greatest(F.col("mean_length"), F.lit(1e-9)))
+        weights = frequency.select("term", idf(F.lit(n), F.col("df")).alias("idf"))
+        tf = F.col("tf")
+        norm = self.k1 * (1.0 - self.b + self.b * F.col("length") / max(total / max(1, n), 1e-9))
         part = F.col("idf") * tf * (self.k1 + 1.0) / (tf + norm)
-        return asked.join(postings.join(weights, "term"), "term").groupBy("qid", "pid").agg(F.sum(part).alias("bm25"))
+        return small(asked).join(postings.join(weights, "term"), "term").groupBy("qid", "pid").agg(F.sum(part).alias("bm25"))
 
     def top(self, queries: DataFrame, query_key: str, query_text: str, k: int) -> DataFrame:
         """The best k passages of each query: qid, rank, pid, bm25; equal scores by passage key.

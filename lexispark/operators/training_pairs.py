@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import clean_text, record_id, split_of, terms, weak_category
+from ..storage import small, written
 from .lexical import B, K1, idf
 
 
@@ -42,29 +43,29 @@ def positives(records: DataFrame, extra_queries: DataFrame | None = None) -> Dat
     return own.unionByName(more)
 
 
-def hard_negatives(asked: DataFrame, records: DataFrame, pool: int = 10, n: int = 1, seed: int = 42, common: int = 1000) -> DataFrame:
+def hard_negatives(asked: DataFrame, records: DataFrame, pool: int = 10, n: int = 1, seed: int = 42, common: int = 200) -> DataFrame:
     """For each query, ``n`` of the best ``pool`` records of its split by BM25 that aren't of its own title.
 
-    Candidates share at least one query term that is in at most ``common`` records of the split; they are scored by all
-    terms. A query none of whose terms is that rare gets no hard negative: this bounds the join at any size.
+    Query terms that more than ``common`` records of the split hold don't count: every query is matched with at most
+    that many records a term, so the join grows with the queries and not with their square.  A query all of whose terms
+    are that frequent gets no hard negative.
     """
     docs = records.select(F.col("doc_id").alias("pid"), "split", F.col("title").alias("other"), terms(F.col("content")).alias("terms"))
     size = docs.groupBy("split").agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("mean_length"))
-    postings = docs.select("pid", "split", F.size("terms").alias("length"), F.explode("terms").alias("term")).groupBy("pid", "split", "length", "term").agg(F.count("*").alias("tf"))
-    frequency = postings.groupBy("split", "term").agg(F.count("*").alias("df"))
-    queries = asked.select("query", "split", "doc_id", "title").withColumn("qid", _seeded(seed, F.col("query"), F.col("doc_id")))
-    spread = queries.select("qid", "split", F.explode(F.array_distinct(terms(F.col("query")))).alias("term")).join(frequency, ["split", "term"])
-    rare = spread.where(F.col("df") <= common).join(postings, ["split", "term"]).select("qid", "split", "pid", "length").distinct()
-    held = docs.select("pid", "split", "other", "terms")
-    scored = rare.join(spread.groupBy("qid", "split").agg(F.collect_list(F.struct("term", "df")).alias("q")), ["qid", "split"]).join(F.broadcast(size), "split").join(held, ["pid", "split"])
-    tf = lambda t: F.size(F.filter("terms", lambda x: x == t))
+    queries = asked.select("query", "split", "doc_id", "title").withColumn("qid", F.xxhash64("query", "doc_id"))
+    spread = queries.select("qid", "split", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
+    postings = docs.select("pid", "split", F.size("terms").alias("length"), F.explode("terms").alias("term")).join(small(spread.select("split", "term").distinct()), ["split", "term"], "left_semi")
+    postings = written(postings.groupBy("pid", "split", "length", "term").agg(F.count("*").alias("tf")), "postings")
+    weights = postings.groupBy("split", "term").agg(F.count("*").alias("df")).where(F.col("df") <= common).join(F.broadcast(size), "split")
     norm = K1 * (1.0 - B + B * F.col("length") / F.greatest(F.col("mean_length"), F.lit(1e-9)))
-    score = F.aggregate("q", F.lit(0.0), lambda acc, x: acc + idf(F.col("n"), x["df"]) * tf(x["term"]) * (K1 + 1.0) / (tf(x["term"]) + norm))
-    scored = scored.withColumn("bm25", score).join(queries.select("qid", "query", "title", F.col("doc_id").alias("own")), "qid")
-    best = Window.partitionBy("qid").orderBy(F.desc(F.round("bm25", 9)), "pid")
-    top = scored.select("qid", "query", "split", "pid", "own", "title", "other", "bm25").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= pool + 1)
-    others = top.where((F.col("pid") != F.col("own")) & (F.col("title") != F.col("other")))
-    drawn = others.withColumn("draw", F.row_number().over(Window.partitionBy("qid").orderBy(_seeded(seed, F.col("qid"), F.col("pid"))))).where(F.col("draw") <= n)
+    part = idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1.0) / (F.col("tf") + norm)
+    held = postings.join(weights, ["split", "term"]).select("split", "term", "pid", part.alias("part"))
+    scored = spread.join(held, ["split", "term"]).groupBy("qid", "pid").agg(F.round(F.sum("part"), 9).alias("bm25"))
+    best = Window.partitionBy("qid").orderBy(F.desc("bm25"), "pid")
+    top = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= pool + 1)
+    named = top.join(queries.select("qid", "query", "split", "title", F.col("doc_id").alias("own")), "qid").join(docs.select("pid", "other"), "pid")
+    others = named.where((F.col("pid") != F.col("own")) & (F.col("title") != F.col("other")))
+    drawn = others.withColumn("draw", F.row_number().over(Window.partitionBy("qid").orderBy(_seeded(seed, F.col("own"), F.col("pid"))))).where(F.col("draw") <= n)
     return drawn.select("query", F.col("pid").alias("doc_id"), "split", "own")
 
 

@@ -31,7 +31,10 @@ def query(f):
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A table; one that comes in fewer splits than there are cores is dealt out to all of them."""
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def asked_queries(spark: SparkSession, folder: str) -> DataFrame:
@@ -194,7 +197,7 @@ def training_records(spark, folder):
 @query
 def mined_pairs(spark, folder):
     """Positive, hard-negative and random-negative pairs mined from all cleaned records."""
-    return build_pairs(clean_records(table(spark, folder, "legal_records"), "row_id"))
+    return build_pairs(written(clean_records(table(spark, folder, "legal_records"), "row_id"), "records"))
 
 
 @query
