@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -57,17 +57,15 @@ class Bm25:
         """qid, pid, bm25 for every passage that shares a term with the query; repeated query terms count once.
 
         The terms of the queries are the small side: postings are kept of these only, by a semi join before anything is
-        shuffled on terms, and written once; the corpus size is observed in the same pass.  Partial sums are added per
-        (query, passage).
+        shuffled on terms, and written once.  Partial sums are added per (query, passage).
         """
         asked = queries.select(F.col(query_key).alias("qid"), F.explode(F.array_distinct(terms(F.col(query_text), compatibility=self.compatibility))).alias("term"))
         wanted = small(asked.select("term").distinct())
         rows = self.passages.select(F.col(self.key).alias("pid"), terms(F.col(self.text), compatibility=self.compatibility).alias("terms"))
-        seen = Observation()
-        rows = rows.select("pid", "terms", F.size("terms").alias("length")).observe(seen, F.count(F.lit(1)).alias("n"), F.sum("length").alias("total"))
+        rows = rows.select("pid", "terms", F.size("terms").alias("length"))
+        n, total = rows.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
         held = rows.select("pid", "length", F.explode("terms").alias("term")).join(wanted, "term", "left_semi")
         postings = written(held.groupBy("pid", "length", "term").agg(F.count("*").alias("tf")), "postings")
-        n, total = seen.get["n"], seen.get["total"] or 0
         frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
         weights = frequency.select("term", idf(F.lit(n), F.col("df")).alias("idf"))
         tf = F.col("tf")
@@ -90,12 +88,14 @@ def coverage(pairs: DataFrame, query: str, document: str, weights: DataFrame | N
 
     ``weights`` (term, idf) defaults to 1 for every term; a query term outside the table weighs as the heaviest inside.
     """
-    rows = pairs.withColumn("_pair", F.monotonically_increasing_id())
+    empty = F.lit("")
+    rows = pairs.withColumn("_pair", F.md5(F.concat(F.coalesce(F.col(query), empty), F.lit("\0"), F.coalesce(F.col(document), empty))))
     asked, held = F.array_distinct(terms(F.col(query))), F.array_distinct(terms(F.col(document)))
     if weights is None:
         share = F.size(F.array_intersect(asked, held)) / F.size(asked)
         return pairs.withColumn("coverage", F.when(F.size(asked) == 0, 0.0).otherwise(share))
-    spread = rows.select("_pair", F.explode(asked).alias("term"), held.alias("held")).select("_pair", "term", F.array_contains("held", F.col("term")).alias("hit"))
+    once = rows.groupBy("_pair").agg(F.first(query).alias(query), F.first(document).alias(document))  # equal pairs are worked out once
+    spread = once.select("_pair", F.explode(asked).alias("term"), held.alias("held")).select("_pair", "term", F.array_contains("held", F.col("term")).alias("hit"))
     heaviest = weights.agg(F.coalesce(F.max("idf"), F.lit(1.0)).alias("heaviest"))
     weighed = spread.join(weights.select("term", "idf"), "term", "left").crossJoin(F.broadcast(heaviest)).withColumn("w", F.coalesce("idf", "heaviest"))
     shares = weighed.groupBy("_pair").agg((F.sum(F.when(F.col("hit"), F.col("w")).otherwise(0.0)) / F.sum("w")).alias("coverage"))

@@ -23,7 +23,8 @@ def scored_cases(cases: DataFrame, extra: dict[str, Column] | None = None) -> Da
     base = base.join(docs, "doc", "left").join(asked, "query", "left").join(found, ["qid", "pid"], "left")
     base = base.withColumn("keyword", keyword_score(F.col("query"), F.col("doc"))).withColumn("overlap", overlap_share(F.col("query"), F.col("doc")))
     base = decide(base, "keyword", "overlap")
-    scorers = {"always": F.lit(1.0), "keyword": F.col("keyword"), "overlap": F.col("overlap"), "coverage": F.col("coverage"), "bm25": F.coalesce("bm25", F.lit(0.0)), "cascade": F.when(F.col("kept"), F.col("final_score")).otherwise(0.0), **(extra or {})}
+    flat = {f"cascade_flat_{int(100 * t)}": F.when(F.col("overlap") > 0, t).otherwise(0.0) for t in (0.5, 0.72)}  # tier 1 always the same
+    scorers = {"always": F.lit(1.0), "keyword": F.col("keyword"), "overlap": F.col("overlap"), "coverage": F.col("coverage"), "bm25": F.coalesce("bm25", F.lit(0.0)), "cascade": F.when(F.col("kept"), F.col("final_score")).otherwise(0.0), **flat, **(extra or {})}
     spread = F.explode(F.array(*[F.struct(F.lit(n).alias("scorer"), c.cast("double").alias("score")) for n, c in scorers.items()])).alias("x")
     return base.select("id", "suite", "category", "query", "label", spread).select("id", "suite", "category", "query", "label", "x.scorer", "x.score")
 

@@ -84,7 +84,31 @@ CLEAN = "trim(regexp_replace(regexp_replace(coalesce({0}, ''), 'http\\S+', '', '
 HITS = [" + ".join(f"(length(t) - length(replace(t, '{p.replace(chr(39), chr(39) * 2)}', ''))) // {len(p)}" for p in CATEGORY_PHRASES[k]) for k in sorted(CATEGORY_PHRASES)]
 EDGES = "[0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9]::DOUBLE[]"
 
+CASES = f"""{rule('eval_cases', 'query', 'doc', 'id, suite, category, query, doc, label')},
+ov AS (SELECT *, CASE WHEN len({beginnings('query')}) = 0 THEN 0.0 ELSE len(list_intersect({beginnings('query')}, {beginnings('doc')})) / len({beginnings('query')}) END::DOUBLE AS overlap FROM ruled),
+d AS (SELECT id, list_distinct({term_list('query')}) AS q, list_distinct({term_list('doc')}) AS t FROM eval_cases),
+cdf AS (SELECT term, ln(1 + ((SELECT count(*) FROM d) - count(*) + 0.5) / (count(*) + 0.5)) AS w FROM (SELECT unnest(t) AS term FROM d) GROUP BY term),
+cx AS (SELECT id, t, unnest(q) AS term FROM d),
+cy AS (SELECT id, list_contains(t, term) AS hit, coalesce(w, (SELECT max(w) FROM cdf)) AS w FROM cx LEFT JOIN cdf USING (term)),
+cv AS (SELECT id, least(1.0, coalesce(sum(w) FILTER (hit), 0) / sum(w)) AS c FROM cy GROUP BY id),
+bd AS (SELECT doc, {term_list('doc')} AS ts FROM (SELECT DISTINCT doc FROM eval_cases WHERE doc IS NOT NULL)),
+bs AS (SELECT count(*) AS n, avg(len(ts)) AS m FROM bd),
+bt AS (SELECT doc, dl, term, count(*) AS tf FROM (SELECT doc, len(ts) AS dl, unnest(ts) AS term FROM bd) GROUP BY ALL),
+bf AS (SELECT term, count(*) AS df FROM bt GROUP BY term),
+bq AS (SELECT DISTINCT query, unnest({term_list('query')}) AS term FROM eval_cases),
+bm AS (SELECT query, doc, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / m))) AS s FROM bq JOIN bt USING (term) JOIN bf USING (term) CROSS JOIN bs GROUP BY ALL),
+wide AS (SELECT ov.*, coalesce(cv.c, 0.0) AS coverage, coalesce(bm.s, 0.0) AS bm25 FROM ov LEFT JOIN cv USING (id) LEFT JOIN bm USING (query, doc)),
+scored AS (SELECT id, suite, query, label, x.scorer AS scorer, x.score AS score FROM (SELECT id, suite, query, label, unnest([
+  {{'scorer': 'always', 'score': 1.0::DOUBLE}}, {{'scorer': 'keyword', 'score': score}}, {{'scorer': 'overlap', 'score': overlap}}, {{'scorer': 'coverage', 'score': coverage::DOUBLE}}, {{'scorer': 'bm25', 'score': bm25::DOUBLE}},
+  {{'scorer': 'cascade', 'score': CASE WHEN score >= 0.5 AND NOT (overlap = 0 AND score < 0.75) THEN score ELSE 0.0 END}},
+  {{'scorer': 'cascade_flat_50', 'score': CASE WHEN overlap > 0 THEN 0.5 ELSE 0.0 END::DOUBLE}}, {{'scorer': 'cascade_flat_72', 'score': CASE WHEN overlap > 0 THEN 0.72 ELSE 0.0 END::DOUBLE}}]) AS x FROM wide))"""
+
 SQL: dict[str, str] = {
+    "cases_scored": f"WITH {CASES} SELECT id, scorer, round(score, 6) AS score FROM scored",
+    "suite_metrics": f"""WITH {CASES}, {auc_over('suite, scorer')}, {auc_over('suite, scorer, query').replace('ranked', 'ranked_q').replace('aucs', 'aucs_q')},
+m AS (SELECT suite, scorer, count(*) AS n, count(*) FILTER (score >= 0.5 AND label = 1) AS tp, count(*) FILTER (score >= 0.5 AND label = 0) AS fp, count(*) FILTER (score < 0.5 AND label = 0) AS tn, count(*) FILTER (score < 0.5 AND label = 1) AS fn FROM scored GROUP BY ALL),
+qa AS (SELECT suite, scorer, avg(auc) AS query_auc FROM aucs_q GROUP BY ALL)
+SELECT suite, scorer, n, tp, fp, tn, fn, round((tp + tn) / n, 6) AS accuracy, round(auc, 6) AS auc, round(query_auc, 6) AS query_auc FROM m JOIN aucs USING (suite, scorer) JOIN qa USING (suite, scorer)""",
     "bm25_topk": f"""WITH {ASKED}, qt AS (SELECT DISTINCT qid, unnest({term_list('query')}) AS term FROM asked), {POSTINGS},
 s AS (SELECT qid, pid, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / greatest(m, 1e-9)))) AS s
   FROM qt JOIN tf USING (term) JOIN df USING (term) CROSS JOIN size GROUP BY ALL)

@@ -259,3 +259,14 @@ def test_suite_report(spark):
     rows = {r.scorer: r for r in suite_report(cases).collect()}
     assert rows["keyword"].accuracy == 1.0 and rows["always"].accuracy == 0.5 and rows["bm25"].auc == 1.0
     assert "| dev | keyword |" in as_markdown(suite_report(cases), ["suite", "scorer", "accuracy"])
+
+
+def test_pair_encoding_and_heads(spark):
+    from lexispark.operators.encoding import choice, padded, pair_ids, rubric
+
+    rows = spark.createDataFrame([([1, 2], [3, 4, 5], [0.0, 2.0, 9.0]), (list(range(100)), list(range(300)), [1.0, 1.0, 0.0]), (None, None, [0.5, 0.0, 0.0])], "q array<int>, c array<int>, l array<double>")
+    ids = pair_ids(F.col("q"), F.col("c"), 101, 102)
+    got = rows.select(ids.alias("i"), padded(ids, 256).alias("p"), choice(F.col("l"), 2).alias("x"), rubric(F.lit(0.0)).alias("r")).collect()
+    assert got[0].i == [101, 1, 2, 102, 3, 4, 5, 102] and len(got[1].i) == 256 and got[1].i[65] == 102 and got[2].i == [101, 102, 102]
+    assert all(len(g.p.ids) == len(g.p.mask) == 256 and sum(g.p.mask) == len(g.i) and g.r == 2.0 for g in got)
+    assert [g.x["index"] for g in got] == [1, 0, 0] and abs(got[0].x.probability - 1 / (1 + math.exp(-2))) < 1e-12 and got[1].x.probability == 0.5
