@@ -1,9 +1,8 @@
 """Vectorised word folding and hashing of text columns, for use inside Arrow tasks.
 
 A *word* is a maximal run of letters and digits after lower-casing and removing accents (Hangul syllables stay as stored).
-A batch of texts is turned into
-one array of code points, folded by one table look-up, cut into words and hashed by prefix sums, so the cost per
-character is a few array passes and no Python loop runs per character.
+A batch of texts is turned into one array of code points, folded by one table look-up, cut into words and hashed by
+prefix sums, so the cost per character is a few array passes and no Python loop runs per character.
 """
 
 from __future__ import annotations
