@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import written
+from .classes import SPAN, pair_rows
 
 # Letters that are drawn like a Latin letter, and hyphens drawn like the ASCII one.
 LOOK_ALIKE = dict(
@@ -244,10 +245,12 @@ def same_looking(items: DataFrame, id_column: str, text: Column) -> DataFrame:
     """Pairs of items, neither null nor empty, that look the same and are stored differently: id_a < id_b."""
     forms = canonical_texts(items, id_column, text).where("text != ''")
     keyed = written(forms.select("id", F.md5("canonical").alias("form"), F.md5("text").alias("stored")), "forms")
-    classes = keyed.select("form", "stored").distinct()
-    several = classes.groupBy("form").agg(F.count("*").alias("n")).where("n > 1").select("form")
-    classes = classes.join(several, "form", "left_semi")
-    pairs = classes.select("form", F.col("stored").alias("one")).join(classes.select("form", F.col("stored").alias("two")), "form").where("one < two")
-    a, b = (keyed.select(F.col("id").alias(i), "form", F.col("stored").alias(s)) for i, s in (("i", "one"), ("j", "two")))
-    both = pairs.join(a, ["form", "one"]).join(b, ["form", "two"])
-    return both.select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b"))
+    classes = written(keyed.groupBy("form", "stored").agg(F.count("*").alias("n")), "stored")
+    several = written(classes.groupBy("form").agg(F.count("*").alias("n")).where("n > 1"), "several")
+    one, two = (classes.select(F.col("form").alias(c), F.col("stored").alias(f"{c}_id")).join(several.select(F.col("form").alias(c)), c, "left_semi") for c in "ab")
+    large = several.where(F.col("n") > SPAN).select(F.col("form").alias("class"), "n")
+    pairs = pair_rows(several.select(F.col("form").alias("a"), F.col("form").alias("b")), one, two, large, large).where("a_id < b_id")
+    left, right = (keyed.select(F.col("stored").alias(c), F.col("id").alias(f"{c}_id")) for c in "ab")
+    large = classes.where(F.col("n") > SPAN).select(F.col("stored").alias("class"), "n")
+    both = pair_rows(pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), left, right, large, large)
+    return both.select(F.least("a_id", "b_id").alias("id_a"), F.greatest("a_id", "b_id").alias("id_b"))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..storage import written
 from . import shingles as sh
+from .classes import SPAN, pair_rows
 from .words import chunks, mix
 
 #: Entries of one column beyond which it is cut into a grid.
@@ -29,11 +30,12 @@ LEAST = 4
 _U = np.uint64
 _FLAG_BITS = 24
 _BLOCK = 1 << 18
+_SKETCHES = 256
 
 
 @dataclass
 class NearDuplicates:
-    """``members``: id, rep (smallest id of its exact-copy class); ``pairs``: a < b representatives, similarity."""
+    """``members``: id, rep (smallest id of its exact-copy class), copies (rows of the class); ``pairs``: a < b representatives, similarity."""
 
     members: DataFrame
     pairs: DataFrame
@@ -77,22 +79,36 @@ def _pass_one(size: int, least_words: int):
     return run
 
 
-def _add_counts(batches):
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            at, count = sh.unpack(blob, np.uint32, np.uint32)
-            total.setdefault(block, np.zeros(_BLOCK, np.uint32))[at] += count
-    if total:
-        yield pa.record_batch({"block": pa.array(list(total), pa.int32()), "codes": pa.array([sh.coded(t).tobytes() for t in total.values()], pa.binary())})
+def _add_counts(last: bool):
+    """Blocks of the sketch added up: as codes of one byte at last, before that as counts again."""
+
+    def run(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at, count = sh.unpack(blob, np.uint32, np.uint32)
+                total.setdefault(block, np.zeros(_BLOCK, np.uint32))[at] += count
+        if total:
+            yield pa.record_batch({"block": pa.array(list(total), pa.int32()), "counts": pa.array([sh.coded(t).tobytes() if last else _counted(t) for t in total.values()], pa.binary())})
+
+    return run
 
 
 def frequency_codes(first: DataFrame) -> np.ndarray:
-    """The sketch, added up over all tasks: one byte for each of its 2**22 slots."""
-    rows = first.where("block is not null").select("block", "counts").repartitionById(4, F.col("block") % 4).mapInArrow(_add_counts, "block int, codes binary").collect()
+    """The sketch, added up over all tasks: one byte for each of its 2**22 slots.
+
+    The sketches of many tasks are added in two steps, so that no task gets more than about ``_SKETCHES`` of them.
+    """
+    rows, blocks = first.where("block is not null").select("block", "counts"), (1 << sh.SKETCH_BITS) // _BLOCK
+    tasks = first.rdd.getNumPartitions()
+    if tasks > _SKETCHES:
+        groups = -(-tasks // _SKETCHES)
+        to = F.col("block") + blocks * F.pmod(F.spark_partition_id(), F.lit(groups))
+        rows = rows.withColumn("to", to).repartitionById(blocks * groups, "to").select("block", "counts").mapInArrow(_add_counts(False), "block int, counts binary")
+    rows = rows.repartitionById(4, F.col("block") % 4).mapInArrow(_add_counts(True), "block int, counts binary").collect()
     out = np.zeros(1 << sh.SKETCH_BITS, np.uint8)
     for r in rows:
-        out[r.block * _BLOCK : (r.block + 1) * _BLOCK] = np.frombuffer(r.codes, np.uint8)
+        out[r.block * _BLOCK : (r.block + 1) * _BLOCK] = np.frombuffer(r.counts, np.uint8)
     return out
 
 
@@ -277,11 +293,10 @@ def near_duplicates(records: DataFrame, id_column: str, text: Column, threshold:
     first = written(rows.mapInArrow(_pass_one(size, least_words), "id bigint, n int, h1 bigint, h2 bigint, block int, counts binary"), "classes")
     known = first.where("id is not null").select("id", "n", "h1", "h2")
     by_class = known.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    members = known.join(by_class, ["h1", "h2", "n"]).select("id", "rep")
+    members = written(known.join(by_class, ["h1", "h2", "n"]).select("id", "rep", "copies"), "members")
     total = known.agg(F.sum("n")).first()[0] or 0
     codes = frequency_codes(first)
-    many = by_class.where("copies > 1").select("h1", "h2", "n")
-    copied = flags(F.col("id"), known.join(many, ["h1", "h2", "n"], "left_semi"))
+    copied = flags(F.col("id"), members.where("copies > 1"))
     shared = spark.sparkContext.broadcast((codes, copied))
     parts = sh.partitions_for(total * ((1 - threshold) * 1.1), least)
     marked = rows.withColumn("mark", F.pmod(F.xxhash64("id"), F.lit(1 << _FLAG_BITS)))
@@ -295,8 +310,9 @@ def near_duplicates(records: DataFrame, id_column: str, text: Column, threshold:
 
 def all_pairs(found: NearDuplicates) -> DataFrame:
     """Every pair of similar records, copies included: row_id_a < row_id_b."""
-    pairs = written(found.pairs.select("a", "b"), "pairs")
     left, right = (found.members.select(F.col("rep").alias(c), F.col("id").alias(f"{c}_id")) for c in "ab")
-    classes = found.members.groupBy("rep").agg(F.count("*").alias("copies")).where("copies > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
-    both = pairs.unionByName(classes).join(left, "a").join(right, "b").where((F.col("a") != F.col("b")) | (F.col("a_id") < F.col("b_id")))
+    copied = found.members.where("id = rep and copies > 1").select(F.col("rep").alias("class"), F.col("copies").alias("n")).distinct()
+    pairs = found.pairs.select("a", "b").unionByName(copied.select(F.col("class").alias("a"), F.col("class").alias("b")))
+    large = copied.where(F.col("n") > SPAN)
+    both = pair_rows(pairs, left, right, large, large).where((F.col("a") != F.col("b")) | (F.col("a_id") < F.col("b_id")))
     return both.select(F.least("a_id", "b_id").alias("row_id_a"), F.greatest("a_id", "b_id").alias("row_id_b"))

@@ -7,7 +7,8 @@ Spans are merged into the coverage of each pair of classes; pairs with too littl
 
 Only suffixes that begin with one of a text's rarest word runs are entered, as many as the size-derived bound asks for
 (see ``shingles``): similar texts share at least ``LEAST`` of them, so no pair is lost, and the runs of frequent
-phrases, whose suffixes would stand together in any number, are left out.
+phrases, whose suffixes would stand together in any number, are left out.  Where texts hold little else, the suffixes
+of such a run are dealt to a grid of partitions, in which each held-out text still meets each training text once.
 """
 
 from __future__ import annotations
@@ -21,21 +22,26 @@ from pyspark.sql import functions as F
 
 from ..storage import written
 from . import shingles as sh
+from .classes import SPAN, pair_rows
 from .near_duplicates import _FLAG_BITS, _pass_one, _sets_of, exact_pairs, flags, frequency_codes
 from .words import chunks, mix, runs, split_words
 
 #: Suffixes of both sides that a pair must share, and words of a suffix that are sorted beyond its first run.
 LEAST, CONTEXT = 4, 8
+#: Suffixes with one first run beyond which they are dealt to a grid of partitions.
+HOT = 20_000
 _U = np.uint64
 TRAIN, EVAL = 1, 2
 
 
 @dataclass
 class Overlaps:
-    """``members``: class, field, pair_id and what else the rows have; ``pairs``: eval_class, train_class, similarity."""
+    """``members``: class, field, pair_id and what else the rows have; ``pairs``: eval_class, train_class, similarity;
+    ``classes``: class, with the numbers of its rows on both sides (trains, evals)."""
 
     members: DataFrame
     pairs: DataFrame
+    classes: DataFrame
 
 
 def _sequence_hashes(batches):
@@ -54,7 +60,27 @@ def _sequence_hashes(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(one), pa.array(two), pa.array(count.astype(np.int32))], names=[*batch.schema.names, "h1", "h2", "n"])
 
 
-def _suffixes(size: int, threshold: float, codes_of, parts: int):
+def hot_cells(token, code, ids, sides, hot: int):
+    """Entries of runs with more than ``hot`` of them, for each cell of the run's grid: (index of the entry, cell, side).
+
+    A training text stands in all cells of one row, a held-out one in all cells of one column, so they meet in one cell.
+    """
+    cuts = np.ceil(sh.decoded(code) / hot).astype(np.int64)
+    cold, many = np.flatnonzero(cuts <= 1), np.flatnonzero(cuts > 1)
+    found = [(cold, token[cold], sides[cold])]
+    for side in (TRAIN, EVAL):
+        of = many[(sides[many] & side) > 0]
+        k = cuts[of]
+        own = np.repeat((mix(ids[of].view(_U)) % k.astype(_U)).astype(np.int64), k)
+        entry = np.repeat(of, k)
+        other = np.arange(len(entry)) - np.repeat(np.cumsum(k) - k, k)
+        row, column = (own, other) if side == TRAIN else (other, own)
+        cell = mix(token[entry] ^ mix((row * (1 << 20) + column + 1).astype(_U))) & _U((1 << sh.TOKEN_BITS) - 1)
+        found.append((entry, cell, np.full(len(entry), side, np.uint8)))
+    return [np.concatenate(x) for x in zip(*found, strict=True)]
+
+
+def _suffixes(size: int, threshold: float, codes_of, parts: int, hot: int):
     def run(batches):
         codes = codes_of.value
         for batch in batches:
@@ -73,9 +99,11 @@ def _suffixes(size: int, threshold: float, codes_of, parts: int):
                 doc, hashes, start = doc[first], hashes[first], start[first]
                 chosen, doc, token, code, position, n = sh.prefixes(doc, hashes, codes, threshold, LEAST)
                 keep = code > 0  # a run counted once is of one text
-                doc, token, position, n, start = doc[keep], token[keep], position[keep], n[keep], start[chosen][keep]
+                doc, token, code, position, n, start = doc[keep], token[keep], code[keep], position[keep], n[keep], start[chosen][keep]
                 if not len(doc):
                     continue
+                entry, token, side = hot_cells(token, code, ids[at + doc], sides[at + doc].astype(np.uint8), hot)
+                doc, position, n, start = doc[entry], position[entry], n[entry], start[entry]
                 after = words.first[doc] + start + size
                 ahead = after[:, None] + np.arange(CONTEXT)
                 ahead = np.where(ahead < words.first[doc + 1][:, None], (words.hashes[np.minimum(ahead, len(words.hashes) - 1)] >> _U(32)) | _U(1), _U(0)).astype(np.uint32)
@@ -85,7 +113,7 @@ def _suffixes(size: int, threshold: float, codes_of, parts: int):
                 blobs = []
                 for i, j in zip(edge[:-1], edge[1:], strict=True):
                     o = order[i:j]
-                    fixed = (token[o], ids[at + doc[o]], n[o].astype(np.int32), position[o].astype(np.int32), start[o].astype(np.int32), sides[at + doc[o]].astype(np.uint8))
+                    fixed = (token[o], ids[at + doc[o]], n[o].astype(np.int32), position[o].astype(np.int32), start[o].astype(np.int32), side[o])
                     blobs.append(sh.pack(*fixed, *(np.ascontiguousarray(ahead[o, k]) for k in range(CONTEXT))))
                 yield pa.record_batch({"part": pa.array(to[order][edge[:-1]], pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
@@ -181,14 +209,14 @@ def overlaps(rows: DataFrame, id_column: str, field: Column, text: Column, is_tr
     hashed = picked.mapInArrow(_sequence_hashes, f"{schema}, h1 bigint, h2 bigint, n int").where("n > 0")
     key = ["field", "h1", "h2"]
     side = F.max(F.col("is_train").cast("int")) * TRAIN + F.max((~F.col("is_train")).cast("int")) * EVAL
-    classes = written(hashed.groupBy(*key).agg(F.min("text").alias("text"), side.alias("side"), F.first("n").alias("n")).withColumn("class", F.monotonically_increasing_id()), "classes")
+    classes = written(hashed.groupBy(*key).agg(F.min("text").alias("text"), side.alias("side"), F.first("n").alias("n"), F.count_if("is_train").alias("trains"), F.count_if(~F.col("is_train")).alias("evals")).withColumn("class", F.monotonically_increasing_id()), "classes")
     members = hashed.select("pair_id", *keep, "is_train", *key).join(classes.select(*key, "class"), key).drop("h1", "h2")
     compared = classes.where(~F.col("field").isin(*whole) if whole else F.lit(True)).where(F.col("n") >= size).select("class", "text", "side")
     counted = compared.select("class", "text").mapInArrow(_pass_one(size, size), "id bigint, n int, h1 bigint, h2 bigint, block int, counts binary")
     codes = spark.sparkContext.broadcast(frequency_codes(counted))
     total = compared.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = sh.partitions_for(total / 12, least)
-    entered = compared.mapInArrow(_suffixes(size, threshold, codes, parts), "part int, blob binary")
+    entered = compared.mapInArrow(_suffixes(size, threshold, codes, parts, HOT), "part int, blob binary")
     spans = entered.repartitionById(parts, "part").mapInArrow(_shared_spans(size, threshold, parts), "part int, blob binary")
     close = written(spans.repartitionById(parts, "part").mapInArrow(_coverage(size), "a bigint, b bigint, covered int"), "candidates")
     wanted = spark.sparkContext.broadcast(flags(F.col("id"), close.select(F.explode(F.array("a", "b")).alias("id"))))
@@ -198,11 +226,13 @@ def overlaps(rows: DataFrame, id_column: str, field: Column, text: Column, is_tr
     # a class with rows on both sides is an overlap with itself: all its words, in the same order
     itself = classes.where(F.col("side") == TRAIN + EVAL).where(F.col("field").isin(*whole) | (F.col("n") >= size) if whole else F.col("n") >= size)
     itself = itself.select(F.col("class").alias("eval_class"), F.col("class").alias("train_class"), F.lit(1.0).alias("similarity"))
-    return Overlaps(members, similar.where("eval_class != train_class").unionByName(itself))
+    return Overlaps(members, similar.where("eval_class != train_class").unionByName(itself), classes.select("class", "trains", "evals"))
 
 
 def row_pairs(found: Overlaps) -> DataFrame:
     """Every pair of a held-out and a training row: eval_id, train_id, field, similarity."""
-    left = found.members.where(~F.col("is_train")).select(F.col("class").alias("eval_class"), F.col("pair_id").alias("eval_id"), "field")
-    right = found.members.where("is_train").select(F.col("class").alias("train_class"), F.col("pair_id").alias("train_id"))
-    return found.pairs.join(left, "eval_class").join(right, "train_class").select("eval_id", "train_id", "field", "similarity")
+    left = found.members.where(~F.col("is_train")).select(F.col("class").alias("a"), F.col("pair_id").alias("a_id"), "field")
+    right = found.members.where("is_train").select(F.col("class").alias("b"), F.col("pair_id").alias("b_id"))
+    large = [found.classes.where(F.col(n) > SPAN).select("class", F.col(n).alias("n")) for n in ("evals", "trains")]
+    both = pair_rows(found.pairs.withColumnsRenamed({"eval_class": "a", "train_class": "b"}), left, right, *large)
+    return both.select(F.col("a_id").alias("eval_id"), F.col("b_id").alias("train_id"), "field", "similarity")

@@ -5,7 +5,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from lexispark.llm import groups, leaks, lookalikes, mixing, near_duplicates, overlaps, packing, pieces, tokens
+from lexispark.llm import classes, groups, leaks, lookalikes, mixing, near_duplicates, overlaps, packing, pieces, tokens
 from lexispark.llm.registry import VOCABULARY
 from lexispark.llm.words import chunks, runs, split_words, word_text
 
@@ -131,7 +131,10 @@ def test_leaks_with_an_edit_and_in_blocks(spark, monkeypatch):
 # 3. overlaps between splits
 
 
-def test_overlaps_against_brute_force(spark):
+@pytest.mark.parametrize("hot", [20_000, 3])
+def test_overlaps_against_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(overlaps, "HOT", hot)  # once with the suffixes of every run in a grid
+    monkeypatch.setattr(near_duplicates, "_SKETCHES", 20_000 if hot > 3 else 2)
     rng = random.Random(7)
     base = [sentence(rng, rng.choice([1, 2, 3, 6, 30, 60]), 120) for _ in range(60)]
     rows = []
@@ -155,6 +158,15 @@ def test_overlaps_against_brute_force(spark):
     assert overlaps.row_pairs(overlaps.overlaps(both.limit(0), "pair", F.col("x.f"), F.col("x.t"), F.col("train"))).count() == 0
 
 
+def test_large_classes_are_paired_in_parts(spark):
+    left, right = [(k % 3, k) for k in range(60)] + [(7, 1)], [(5 + k % 2, k) for k in range(40)] + [(None, 3)]
+    pairs = [(0, 5), (1, 6), (7, 6), (2, 9)]
+    large = [spark.createDataFrame(rows, "class long, n long") for rows in ([(0, 20), (1, 20), (2, 20)], [(5, 20), (6, 20)])]
+    found = classes.pair_rows(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(left, "a long, a_id long"), spark.createDataFrame(right, "b long, b_id long"), *large, span=3)
+    got = [(r.a, r.b, r.a_id, r.b_id) for r in found.collect()]
+    assert sorted(got) == sorted((a, b, i, j) for a, b in pairs for x, i in left if x == a for y, j in right if y == b)
+
+
 # 4. near-duplicates
 
 
