@@ -150,16 +150,25 @@ def spaced(text: str) -> str:
     return text if text.isascii() else _ODD_SPACE.sub(" ", text)
 
 
-@lru_cache(1)
-def odd_characters() -> str:
-    """Pattern of the characters that aren't stored plainly or have a Latin double or an accent apart."""
-    stable = [cp for cp in (*range(0x80), *range(0xA1, 0x250), *range(0x1E00, 0x1F00), *range(0x2012, 0x2060), *range(0x20A0, 0x20C0)) if skeleton(chr(cp)) == chr(cp) and not unicodedata.combining(chr(cp))]
-    ranges, begin = [], stable[0]
-    for cp, following in zip(stable, [*stable[1:], -1], strict=True):
+def _ranges(codes: list[int]) -> str:
+    out, begin = [], codes[0]
+    for cp, following in zip(codes, [*codes[1:], -1], strict=True):
         if following != cp + 1:
-            ranges.append(f"\\x{{{begin:X}}}-\\x{{{cp:X}}}")
+            out.append(f"\\x{{{begin:X}}}-\\x{{{cp:X}}}")
             begin = following
-    return "[^" + "".join(ranges) + "]"
+    return "".join(out)
+
+
+@lru_cache(1)
+def odd_characters() -> str:
+    """Pattern of the characters that aren't stored plainly or have a Latin double or an accent apart.
+
+    ASCII characters, which most are, are settled before the long list of the others is gone through.
+    """
+    known = (*range(0x80), *range(0xA1, 0x250), *range(0x1E00, 0x1F00), *range(0x2012, 0x2060), *range(0x20A0, 0x20C0))
+    stable = {cp for cp in known if skeleton(chr(cp)) == chr(cp) and not unicodedata.combining(chr(cp))}
+    low, high = [cp for cp in range(0x80) if cp not in stable], sorted(cp for cp in stable if cp >= 0x80)
+    return f"[{_ranges(low)}[\\x{{80}}-\\x{{10FFFF}}&&[^{_ranges(high)}]]]"
 
 
 @lru_cache(1 << 18)
