@@ -69,16 +69,20 @@ def hard_negatives(asked: DataFrame, records: DataFrame, pool: int = 10, n: int
     return drawn.select("query", F.col("pid").alias("doc_id"), "split", "own")
 
 
-def random_negatives(asked: DataFrame, records: DataFrame, n: int = 1, seed: int = 42, look: int = 8, buckets: int = 64) -> DataFrame:
+def random_negatives(asked: DataFrame, records: DataFrame, n: int = 1, seed: int = 42, look: int = 8, bucket_rows: int = 20_000) -> DataFrame:
     """For each query, ``n`` records of another title and, if one is near, of another jurisdiction.
 
-    Records and queries of a split are put in one seeded order inside hash buckets, and a query takes from the ``look``
-    records that follow its own there: no pair of all records is formed.
+    Records and queries of a split are put in one seeded order inside hash buckets of about ``bucket_rows`` records, and
+    a query takes from the ``look`` records that follow its own there, the first ones again after the last: no pair of
+    all records is formed, and no bucket grows with the data.
     """
+    buckets = max(1, -(-records.count() // bucket_rows))
     w = Window.partitionBy("split", "bucket").orderBy("_h", "doc_id")
     placed = records.select("doc_id", "split", "title", "jurisdiction").withColumn("_h", _seeded(seed, F.col("doc_id"))).withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(buckets)))
-    after = [F.struct(*[F.lead(c, k).over(w).alias(c) for c in ("doc_id", "title", "jurisdiction")]) for k in range(1, look + 1)]
-    placed = placed.withColumn("near", F.filter(F.array(*after), lambda x: x["doc_id"].isNotNull() & (x["title"] != F.col("title"))))
+    one = F.struct("doc_id", "title", "jurisdiction")
+    everything = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = [F.lead(one, k).over(w) for k in range(1, look + 1)] + [F.nth_value(one, k).over(everything) for k in range(1, look + 1)]
+    placed = placed.withColumn("near", F.array_distinct(F.filter(F.array(*after), lambda x: x["doc_id"].isNotNull() & (x["title"] != F.col("title")))))
     other = F.filter("near", lambda x: ~x["jurisdiction"].eqNullSafe(F.col("jurisdiction")))
     chosen = placed.select(F.col("doc_id").alias("own"), F.explode(F.slice(F.when(F.size(other) > 0, other).otherwise(F.col("near")), 1, n)).alias("x"))
     return asked.select("query", "split", F.col("doc_id").alias("own")).join(chosen, "own").select("query", F.col("x.doc_id").alias("doc_id"), "split", "own")

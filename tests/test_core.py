@@ -12,7 +12,7 @@ from lexispark.operators.lexical import Bm25, coverage, term_stats
 from lexispark.operators.passages import split_passages
 from lexispark.operators.scoring import ambiguous, decide, decision_stats, keyword_score, overlap_share, prune
 from lexispark.operators.search import best_sentence, drop_repeated, matching_words, search
-from lexispark.operators.training_pairs import build_pairs, clean_records, shared_between_splits, unlabelled
+from lexispark.operators.training_pairs import build_pairs, clean_records, random_negatives, shared_between_splits, unlabelled
 from lexispark.operators.vectors import embed, missing, nearest, pool, retained
 from lexispark.plans.evaluation import as_markdown, suite_report
 from lexispark.sources import files
@@ -192,6 +192,15 @@ def test_training_pairs(spark):
     assert build_pairs(records.limit(0)).count() == 0
 
 
+def test_every_record_gets_a_random_negative(spark):
+    rows = [(f"d{k}", "train" if k < 12 else "val", f"titre {k % 5}" if k < 12 else "seul", None if k % 3 == 0 else f"cour {k % 2}") for k in range(14)]
+    records = spark.createDataFrame(rows, "doc_id string, split string, title string, jurisdiction string")
+    found = random_negatives(records.withColumn("query", F.col("title")), records, n=2).collect()
+    by = {r[0]: r for r in rows}
+    assert {r.own for r in found} == {f"d{k}" for k in range(12)}  # the others have no record of another title
+    assert all(by[r.own][1] == by[r.doc_id][1] and by[r.own][2] != by[r.doc_id][2] for r in found) and len({(r.own, r.doc_id) for r in found}) == len(found)
+
+
 def test_vectors(spark):
     import numpy as np
 
