@@ -97,7 +97,7 @@ def share_splits(groups: DataFrame, group: str, weight: str, targets: list[tuple
     Shares are scaled to sum 1; splits take their part in the order given.  A group goes where its middle lies, so a
     split misses its share by no more than half a group at each end, and those at the ends are light ones.  Places are
     summed up in two steps (weights and hash buckets first), so nothing is ordered in one task but the few distinct
-    weights, which are fewer than the square root of twice the total weight.
+    weights, which are fewer than the square root of twice the total weight; ``buckets`` should grow with the groups.
     """
     total = sum(s for _, s in targets)
     ends, at = [], 0.0
@@ -125,5 +125,5 @@ def grouped_splits(records: DataFrame, id_column: str, keys: list[Column], targe
     """A split for every record, none for two tied ones apart: id, group, split."""
     found = tied_groups(records, id_column, keys).records
     found = written(found.select("id", "group", "size"), "tied")
-    splits = share_splits(found.select("group", "size").distinct(), "group", "size", targets)
+    splits = share_splits(found.select("group", "size").distinct(), "group", "size", targets, max(1024, found.count() // 100_000))
     return found.join(splits.select("group", "split"), "group").select("id", "group", "split")
