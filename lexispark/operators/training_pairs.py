@@ -43,12 +43,12 @@ def positives(records: DataFrame, extra_queries: DataFrame | None = None) -> Dat
     return own.unionByName(more)
 
 
-def hard_negatives(asked: DataFrame, records: DataFrame, pool: int = 10, n: int = 1, seed: int = 42, common: int = 200) -> DataFrame:
+def hard_negatives(asked: DataFrame, records: DataFrame, pool: int = 10, n: int = 1, seed: int = 42, common: int = 200, champions: int = 50) -> DataFrame:
     """For each query, ``n`` of the best ``pool`` records of its split by BM25 that aren't of its own title.
 
-    Query terms that more than ``common`` records of the split hold don't count: every query is matched with at most
-    that many records a term, so the join grows with the queries and not with their square.  A query all of whose terms
-    are that frequent gets no hard negative.
+    A query term that more than ``common`` records of the split hold counts for the ``champions`` records only that it
+    weighs most in: every query is matched with a bounded number of records a term, so the join grows with the queries
+    and not with their square, and a query all of whose terms are frequent still gets the best records of each.
     """
     docs = records.select(F.col("doc_id").alias("pid"), "split", F.col("title").alias("other"), terms(F.col("content")).alias("terms"))
     size = docs.groupBy("split").agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("mean_length"))
@@ -56,10 +56,13 @@ def hard_negatives(asked: DataFrame, records: DataFrame, pool: int = 10, n: int
     spread = queries.select("qid", "split", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
     postings = docs.select("pid", "split", F.size("terms").alias("length"), F.explode("terms").alias("term")).join(small(spread.select("split", "term").distinct()), ["split", "term"], "left_semi")
     postings = written(postings.groupBy("pid", "split", "length", "term").agg(F.count("*").alias("tf")), "postings")
-    weights = postings.groupBy("split", "term").agg(F.count("*").alias("df")).where(F.col("df") <= common).join(F.broadcast(size), "split")
+    weights = postings.groupBy("split", "term").agg(F.count("*").alias("df")).join(F.broadcast(size), "split")
     norm = K1 * (1.0 - B + B * F.col("length") / F.greatest(F.col("mean_length"), F.lit(1e-9)))
     part = idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1.0) / (F.col("tf") + norm)
-    held = postings.join(weights, ["split", "term"]).select("split", "term", "pid", part.alias("part"))
+    parts = postings.join(weights, ["split", "term"]).select("split", "term", "pid", "df", part.alias("part"))
+    best_first = Window.partitionBy("split", "term").orderBy(F.desc(F.round("part", 9)), F.xxhash64("pid", "term", F.lit(seed)), "pid")
+    frequent = parts.where(F.col("df") > common).withColumn("place", F.row_number().over(best_first)).where(F.col("place") <= champions)
+    held = parts.where(F.col("df") <= common).select("split", "term", "pid", "part").unionByName(frequent.select("split", "term", "pid", "part"))
     scored = spread.join(held, ["split", "term"]).groupBy("qid", "pid").agg(F.round(F.sum("part"), 9).alias("bm25"))
     best = Window.partitionBy("qid").orderBy(F.desc("bm25"), "pid")
     top = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= pool + 1)

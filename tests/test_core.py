@@ -12,7 +12,7 @@ from lexispark.operators.lexical import Bm25, coverage, term_stats
 from lexispark.operators.passages import split_passages
 from lexispark.operators.scoring import ambiguous, decide, decision_stats, keyword_score, overlap_share, prune
 from lexispark.operators.search import best_sentence, drop_repeated, matching_words, search
-from lexispark.operators.training_pairs import build_pairs, clean_records, random_negatives, shared_between_splits, unlabelled
+from lexispark.operators.training_pairs import build_pairs, clean_records, hard_negatives, random_negatives, shared_between_splits, unlabelled
 from lexispark.operators.vectors import embed, missing, nearest, pool, retained
 from lexispark.plans.evaluation import as_markdown, suite_report
 from lexispark.sources import files
@@ -192,6 +192,16 @@ def test_training_pairs(spark):
     assert build_pairs(records.limit(0)).count() == 0
 
 
+def test_queries_of_frequent_terms_get_a_hard_negative(spark):
+    rows = [(f"d{k:03d}", "train", f"bail {k}", "bail commercial résilié " * (1 + k % 7), "cour") for k in range(90)]
+    records = spark.createDataFrame(rows, "doc_id string, split string, title string, content string, jurisdiction string")
+    asked = records.withColumn("query", F.lit("bail résilié"))
+    found = hard_negatives(asked, records, common=5, champions=12).collect()
+    assert {r.own for r in found} == {r[0] for r in rows} and len(found) == 90 and all(r.own != r.doc_id for r in found)
+    whole = hard_negatives(asked, records, common=1000).collect()
+    assert len(whole) == 90
+
+
 def test_every_record_gets_a_random_negative(spark):
     rows = [(f"d{k}", "train" if k < 12 else "val", f"titre {k % 5}" if k < 12 else "seul", None if k % 3 == 0 else f"cour {k % 2}") for k in range(14)]
     records = spark.createDataFrame(rows, "doc_id string, split string, title string, jurisdiction string")
