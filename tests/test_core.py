@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import unicodedata
 import zipfile
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexispark.functions import text as T
-from lexispark.operators import calibration, metrics
+from lexispark.operators import calibration, metrics, training_pairs
 from lexispark.operators.lexical import Bm25, coverage, term_stats
 from lexispark.operators.passages import split_passages
 from lexispark.operators.scoring import ambiguous, decide, decision_stats, keyword_score, overlap_share, prune
@@ -202,6 +203,29 @@ def test_queries_of_frequent_terms_get_a_hard_negative(spark):
     assert len(whole) == 90
 
 
+def test_hard_negatives_count_every_posting_of_frequent_terms(spark, monkeypatch):
+    rng = random.Random(3)
+    common, rare = [f"bail{k}x" for k in range(6)], [f"mot{k}x" for k in range(80)]
+    rows = [(f"d{k:03d}", ("train", "val")[k % 4 == 0], f"titre {k}", " ".join(rng.choices(common, k=rng.randrange(3, 20)) + rng.choices(rare, k=rng.randrange(4)))) for k in range(700)]
+    records = spark.createDataFrame(rows, "doc_id string, split string, title string, content string")
+    texts = [" ".join([*rng.sample(common, rng.randrange(1, 6)), *rng.sample(rare, rng.randrange(3))]) for _ in range(60)]
+    asked = spark.createDataFrame([(rows[k][0], rows[k][1], rows[k][2], texts[k]) for k in range(60)], "doc_id string, split string, title string, query string")
+    expected = {}
+    for k, query in enumerate(texts):
+        docs = {r[0]: r[3] for r in rows if r[1] == rows[k][1]}
+        scores = brute_bm25(docs, query, {t: t.split() for t in (query, *docs.values())})
+        ranked = sorted(scores, key=lambda p: (-round(scores[p], 9), p))[:11]
+        expected[query, rows[k][0]] = {p for p in ranked if p != rows[k][0]}
+    assert min(sum(w in r[3].split() for r in rows if r[1] == "train") for w in common) > 200  # the limit that was
+    whole = training_pairs.best_records
+    for size in (65_536, 90):  # once in several blocks and groups
+        monkeypatch.setattr(training_pairs, "best_records", lambda *a, size=size: whole(*a, block=size, group=size // 4))
+        found = {}
+        for r in hard_negatives(asked, records, n=11).collect():
+            found.setdefault((r.query, r.own), set()).add(r.doc_id)
+        assert found == {q: p for q, p in expected.items() if p}
+
+
 def test_every_record_gets_a_random_negative(spark):
     rows = [(f"d{k}", "train" if k < 12 else "val", f"titre {k % 5}" if k < 12 else "seul", None if k % 3 == 0 else f"cour {k % 2}") for k in range(14)]
     records = spark.createDataFrame(rows, "doc_id string, split string, title string, jurisdiction string")
