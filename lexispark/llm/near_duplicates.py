@@ -129,7 +129,7 @@ def hot_grid(token, code, rows, hot: int = HOT):
     return np.concatenate([cold, entry]), np.concatenate([token[cold], cell]), np.concatenate([np.zeros(len(cold), np.uint8), side])
 
 
-def _post(size: int, least_words: int, threshold: float, shared, parts: int):
+def _post(size: int, least_words: int, threshold: float, shared, parts: int, hot: int):
     def run(batches):
         codes, copied = shared.value
         for batch in batches:
@@ -156,7 +156,7 @@ def _post(size: int, least_words: int, threshold: float, shared, parts: int):
                     first = np.concatenate([[True], (g[1:] == 0) | (t[1:] != t[:-1]) | (g[1:] != g[:-1])])
                     order = order[first]
                     token, code, position, n, rows, tags = (x[order] for x in (token, code, position, n, rows, tags))
-                entry, token, side = hot_grid(token, code, rows)
+                entry, token, side = hot_grid(token, code, np.where(tags != 0, tags, rows), hot)  # copies fall into one grid row
                 to = (mix(token) % _U(parts)).astype(np.int64)
                 order = np.lexsort((token, to))
                 entry, token, side, to = entry[order], token[order], side[order], to[order]
@@ -300,7 +300,7 @@ def near_duplicates(records: DataFrame, id_column: str, text: Column, threshold:
     shared = spark.sparkContext.broadcast((codes, copied))
     parts = sh.partitions_for(total * ((1 - threshold) * 1.1), least)
     marked = rows.withColumn("mark", F.pmod(F.xxhash64("id"), F.lit(1 << _FLAG_BITS)))
-    posted = marked.mapInArrow(_post(size, least_words, threshold, shared, parts), "part int, blob binary")
+    posted = marked.mapInArrow(_post(size, least_words, threshold, shared, parts, HOT), "part int, blob binary")
     blocks = posted.repartitionById(parts, "part").mapInArrow(_multiply(threshold, parts), "part int, blob binary")
     close = written(blocks.repartitionById(parts, "part").mapInArrow(_add_up(LEAST), "a bigint, b bigint"), "candidates")
     wanted = spark.sparkContext.broadcast(flags(F.col("id"), close.select(F.explode(F.array("a", "b")).alias("id"))))

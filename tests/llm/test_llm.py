@@ -200,6 +200,24 @@ def test_a_third_of_all_rows_is_one_copy(spark):
     assert found.members.where("rep = 0").count() == 1000 and found.pairs.count() == 0
 
 
+def test_copies_in_a_grid_are_one_row(spark, monkeypatch):
+    rng = random.Random(5)
+    hot = sentence(rng, 40)
+    near = " ".join([*hot.split()[:-1], "autre"])
+    rows = [(k, hot) for k in range(100)] + [(100, near)] + [(k, sentence(rng, 40)) for k in range(101, 200)]
+    monkeypatch.setattr(near_duplicates, "HOT", 30)
+    monkeypatch.setattr(near_duplicates.hot_grid, "__defaults__", (30,))
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows_of_batch = spark.conf.get(batch)
+    spark.conf.set(batch, 4)  # copies of one batch are one row before the grid
+    try:
+        found = near_duplicates.near_duplicates(spark.createDataFrame(rows, "i long, t string"), "i", F.col("t"))
+        assert [(r.a, r.b) for r in found.pairs.collect()] == [(0, 100)]
+        assert found.members.where("rep = 0").count() == 100
+    finally:
+        spark.conf.set(batch, rows_of_batch)
+
+
 def test_record_text(spark):
     rows = spark.createDataFrame([("t", "c"), (None, "c"), ("t", " \u00a0\n"), ("t", None)], "title string, content string")
     assert [r.x for r in rows.select(near_duplicates.record_text(F.col("title"), F.col("content")).alias("x")).collect()] == ["t c", "c", None, None]
