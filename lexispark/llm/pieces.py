@@ -25,8 +25,6 @@ _SPACE = re.compile(r"\s+")
 #: Cost of a cut by kind; those of forced cuts exceed what any number of pieces can gain elsewhere.
 PENALTY = {"paragraph": 0.0, "line": 0.05, "sentence": 0.1, "outer": 0.2, "word": 1e4, "inside": 1e8}
 FORCED = ("word", "inside")
-#: Of the spaces in a stretch without natural boundary, one in so many characters is a possible cut.
-CELL = 16
 
 
 def cut_positions(text: str, limit: int) -> tuple[list[int], list[str]]:
@@ -62,10 +60,8 @@ def cut_positions(text: str, limit: int) -> tuple[list[int], list[str]]:
             ends.update((p, "outer") for p in range(max(last, 1), n, limit) if p not in ends)
     for a, b in solid:
         if b - a > limit:
-            at, cells = a, {}
-            for m in _SPACE.finditer(text, a, b):
-                cells[(m.end() - a) // CELL] = m.end()
-            for p in (*(p for p in cells.values() if p < b), b):
+            at = a
+            for p in (*(m.end() for m in _SPACE.finditer(text, a, b) if m.end() < b), b):
                 while p - at > limit // 10:
                     at += limit // 10
                     while at < p and unicodedata.combining(text[at]):

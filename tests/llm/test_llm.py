@@ -71,6 +71,12 @@ def test_pieces_lose_nothing(seed):
         assert at == len(text)
 
 
+@pytest.mark.parametrize("long", range(490, 500))
+def test_every_space_is_a_possible_cut(long):
+    text = "a" * long + " " + "bb cc d " * 90
+    assert not [k for _, _, k in pieces.best_cuts(text, 500, 100) if k == "inside"]
+
+
 def test_pieces_of_a_table(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, "a" * 1200, "x"), (4, "Une phrase entière. " * 60, None), (4, "court", "x")]
     found = pieces.pieces(spark.createDataFrame(rows, "row_id long, text string, n_pieces string"), "row_id", F.col("text"))
