@@ -233,6 +233,37 @@ def _add_up(least: int):
     return run
 
 
+def _redealt(parts: int, cuts: int):
+    """Packed pairs of one partition dealt on to ``cuts`` partitions by a second hash."""
+
+    def run(batches):
+        for batch in batches:
+            out: dict[str, list] = {"part": [], "blob": []}
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b, count = sh.unpack(blob, np.int64, np.int64, np.uint16)
+                to = mix(mix(a.view(_U)) + b.view(_U)) % _U(cuts)
+                for k in np.unique(to):
+                    some = to == k
+                    out["part"].append(part + parts * int(k))
+                    out["blob"].append(sh.pack(a[some], b[some], count[some]))
+            yield pa.record_batch({"part": pa.array(out["part"], pa.int32()), "blob": pa.array(out["blob"], pa.binary())})
+
+    return run
+
+
+def added_up(partial: DataFrame, parts: int, least: int, each: int = 2_000_000) -> DataFrame:
+    """Pairs (a, b) whose partial counts (packed, by ``parts`` hash parts of the pair) sum up to ``least``.
+
+    The counts are written first, so that the number of partitions they are added up in follows from how many there are:
+    pairs grow faster than records, and no partition gets more than about ``each`` of them.
+    """
+    counts = written(partial, "counts")
+    cuts = max(1, -(-(counts.agg(F.sum(F.length("blob"))).first()[0] or 0) // (18 * each * parts)))
+    if cuts > 1:
+        counts = counts.mapInArrow(_redealt(parts, cuts), "part int, blob binary")
+    return counts.repartitionById(parts * cuts, "part").mapInArrow(_add_up(least), "a bigint, b bigint")
+
+
 def _sets_of(size: int, least_words: int, wanted):
     """Whole shingle sets of the wanted records, as hashes of 40 bits: two sets of 1000 agree by chance once in 10**6."""
 
@@ -302,7 +333,7 @@ def near_duplicates(records: DataFrame, id_column: str, text: Column, threshold:
     marked = rows.withColumn("mark", F.pmod(F.xxhash64("id"), F.lit(1 << _FLAG_BITS)))
     posted = marked.mapInArrow(_post(size, least_words, threshold, shared, parts, HOT), "part int, blob binary")
     blocks = posted.repartitionById(parts, "part").mapInArrow(_multiply(threshold, parts), "part int, blob binary")
-    close = written(blocks.repartitionById(parts, "part").mapInArrow(_add_up(LEAST), "a bigint, b bigint"), "candidates")
+    close = written(added_up(blocks, parts, LEAST), "candidates")
     wanted = spark.sparkContext.broadcast(flags(F.col("id"), close.select(F.explode(F.array("a", "b")).alias("id"))))
     sets = marked.mapInArrow(_sets_of(size, least_words, wanted), "id bigint, shingles binary")
     return NearDuplicates(members, exact_pairs(close, sets, threshold))

@@ -137,15 +137,17 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def p3_report(spark: SparkSession, folder: str) -> DataFrame:
-    """Held-out rows, and those that overlap with the training split, per split, field and jurisdiction of their record."""
+    """Held-out rows, those that overlap with the training split, and their words that stand in it, per split, field and
+    jurisdiction of their record."""
     found = _split_overlaps(spark, folder)
     key = tie_key(F.col("doc_id"))
     named = table(spark, folder, "legal_records").select(key.alias("doc"), "row_id", tie_key(F.col("jurisdiction")).alias("jurisdiction")).where("doc is not null and jurisdiction is not null")
     named = named.groupBy("doc").agg(F.min_by("jurisdiction", "row_id").alias("jurisdiction"))
     hit = found.pairs.groupBy(F.col("eval_class").alias("class")).agg(F.max("similarity").alias("similarity"))
-    rows = found.members.where(~F.col("is_train")).join(hit, "class", "left").withColumn("doc", key).join(named, "doc", "left")
+    rows = found.members.where(~F.col("is_train")).join(hit, "class", "left").join(found.coverage, "class", "left").withColumn("doc", key).join(named, "doc", "left")
+    covered = F.when(F.col("field") == "query", F.when(F.col("similarity").isNotNull(), F.col("words")).otherwise(0)).otherwise(F.coalesce("covered", F.lit(0)))
     by = rows.groupBy(F.col("part").alias("split"), "field", F.coalesce("jurisdiction", F.lit("unknown")).alias("jurisdiction"))
-    return by.agg(F.count("*").alias("rows"), F.count("similarity").alias("overlapping"), F.count_if(F.col("similarity") >= 1.0).alias("equal"))
+    return by.agg(F.count("*").alias("rows"), F.count("similarity").alias("overlapping"), F.count_if(F.col("similarity") >= 1.0).alias("equal"), F.sum("words").alias("words"), F.sum(covered).alias("covered_words"))
 
 
 @query

@@ -2,6 +2,7 @@ import random
 import re
 import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,9 +162,34 @@ def test_overlaps_against_brute_force(spark, monkeypatch, hot):
                 if words(a[3]) and words(a[3]) == words(b[3]):
                     expected.add((a[0], b[0], "query"))
     assert len(got) == len(set(got)) and set(got) == expected and len(expected) > 300
+    known = {s: [shingles(r[2]) for r in rows if r[1] == s] for s in (True, False)}
+    known = {s: set().union(*x) for s, x in known.items()}
+    cover = {}
+    for pair, train, content, _ in rows:
+        w = words(content)
+        inside = [any(tuple(w[i : i + 3]) in known[not train] and len(w[i : i + 3]) == 3 for i in range(max(0, k - 2), k + 1)) for k in range(len(w))]
+        stretches = [len(s) for s in "".join("x" if i else " " for i in inside).split()]
+        if stretches:
+            cover[pair] = (sum(stretches), len(stretches), max(stretches))
+    rows_of = found.members.where("field = 'content'").join(found.coverage, "class").collect()
+    assert {r.pair_id: (r.covered, r.spans, r.longest) for r in rows_of} == cover and len(cover) > 100
     assert overlaps.row_pairs(overlaps.overlaps(both.limit(0), "pair", F.col("x.f"), F.col("x.t"), F.col("train"))).count() == 0
 
 
+def test_common_prefixes_with_the_other_side():
+    rng = random.Random(23)
+    for _ in range(200):
+        texts = [(rng.choice([1, 2, 3]), [rng.randrange(1, 3) for _ in range(rng.randrange(0, 9))]) for _ in range(rng.randrange(1, 40))]
+        rows = [(rng.randrange(3), w, s) for s, w in texts]
+        code = lambda w: sum((w[k] if k < len(w) else 0) << 16 * (3 - k) for k in range(4))
+        rows.sort(key=lambda r: (r[0], code(r[1]), code(r[1][4:])))
+        token, one, two = (np.array(x, np.uint64) for x in ([r[0] for r in rows], [code(r[1]) for r in rows], [code(r[1][4:]) for r in rows]))
+        got = overlaps.common_prefixes(token, one, two, np.array([r[2] for r in rows], np.uint8), 3)
+        for (t, w, s), found in zip(rows, got, strict=True):
+            lengths = [3 + next((k for k in range(8) if k >= len(w) or k >= len(v) or w[k] != v[k]), 8) for u, v, o in rows if u == t and (s | o) == 3]
+            assert found == max(lengths, default=0)
+
+
 def test_large_classes_are_paired_in_parts(spark):
     left, right = [(k % 3, k) for k in range(60)] + [(7, 1)], [(5 + k % 2, k) for k in range(40)] + [(None, 3)]
     pairs = [(0, 5), (1, 6), (7, 6), (2, 9)]
