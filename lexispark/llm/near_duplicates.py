@@ -6,11 +6,12 @@ with their transpose and emits partial overlap counts of record pairs, which are
 count stays below the bound are discarded, the rest is compared exactly on whole shingle sets.
 
 Exact copies are one row of the product: they share a class, and a class that holds a third of all records costs one
-row.  Columns that hold more than ``HOT`` entries are cut into a grid of smaller blocks.  Nothing is sampled or capped.
+row.  Columns that hold more than ``sh.HOT`` entries are cut into a grid of smaller blocks.  Nothing is sampled or capped.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,8 +24,6 @@ from . import shingles as sh
 from .classes import SPAN, pair_rows
 from .words import chunks, mix
 
-#: Entries of one column beyond which it is cut into a grid.
-HOT = 20_000
 #: Shared prefix shingles that a pair must have; the prefixes are longer by as many, which keeps every pair.
 LEAST = 4
 _U = np.uint64
@@ -57,19 +56,28 @@ def flags(ids: Column, df: DataFrame) -> np.ndarray:
 
 
 def _counted(part: np.ndarray) -> bytes:
-    """The counters of one block of the sketch that aren't zero."""
-    at = np.flatnonzero(part)
-    return sh.pack(at.astype(np.uint32), part[at])
+    """The counters of one block of the sketch: a byte each, and those above it as a list."""
+    at = np.flatnonzero(part > 254)
+    low = zlib.compress(np.minimum(part, 255).astype(np.uint8).tobytes(), 1)
+    return len(low).to_bytes(4, "little") + low + sh.pack(at.astype(np.uint32), part[at])
 
 
-def _pass_one(size: int, least_words: int):
+def _counts_of(blob: bytes) -> np.ndarray:
+    end = 4 + int.from_bytes(blob[:4], "little")
+    out = np.frombuffer(zlib.decompress(blob[4:end]), np.uint8).astype(np.uint32)
+    at, count = sh.unpack(blob[end:], np.uint32, np.uint32)
+    out[at] = count
+    return out
+
+
+def _pass_one(size: int, least_words: int, slots: int):
     def run(batches):
-        sketch = np.zeros(1 << sh.SKETCH_BITS, np.uint32)
+        sketch = np.zeros(slots, np.uint32)
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
             for at, part in chunks(texts):
                 doc, hashes = sh.shingle_sets(part, size, least_words)
-                np.add.at(sketch, sh.slots(hashes), 1)
+                np.add.at(sketch, sh.slots(hashes, slots), 1)
                 which, sizes, one, two = sh.set_hashes(doc, hashes)
                 yield pa.record_batch({"id": pa.array(ids[at + which], pa.int64()), "n": pa.array(sizes, pa.int32()), "h1": pa.array(one), "h2": pa.array(two), "block": pa.nulls(len(which), pa.int32()), "counts": pa.nulls(len(which), pa.binary())})
         blobs = {k: _counted(part) for k, part in enumerate(sketch.reshape(-1, _BLOCK)) if part.any()}
@@ -86,33 +94,34 @@ def _add_counts(last: bool):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at, count = sh.unpack(blob, np.uint32, np.uint32)
-                total.setdefault(block, np.zeros(_BLOCK, np.uint32))[at] += count
+                counts = _counts_of(blob)
+                total[block] = total[block] + counts if block in total else counts
         if total:
             yield pa.record_batch({"block": pa.array(list(total), pa.int32()), "counts": pa.array([sh.coded(t).tobytes() if last else _counted(t) for t in total.values()], pa.binary())})
 
     return run
 
 
-def frequency_codes(first: DataFrame) -> np.ndarray:
-    """The sketch, added up over all tasks: one byte for each of its 2**22 slots.
+def frequency_codes(first: DataFrame, slots: int) -> np.ndarray:
+    """The sketch, added up over all tasks: one byte for each of its slots.
 
     The sketches of many tasks are added in two steps, so that no task gets more than about ``_SKETCHES`` of them.
     """
-    rows, blocks = first.where("block is not null").select("block", "counts"), (1 << sh.SKETCH_BITS) // _BLOCK
+    rows, blocks = first.where("block is not null").select("block", "counts"), slots // _BLOCK
     tasks = first.rdd.getNumPartitions()
     if tasks > _SKETCHES:
         groups = -(-tasks // _SKETCHES)
         to = F.col("block") + blocks * F.pmod(F.spark_partition_id(), F.lit(groups))
         rows = rows.withColumn("to", to).repartitionById(blocks * groups, "to").select("block", "counts").mapInArrow(_add_counts(False), "block int, counts binary")
-    rows = rows.repartitionById(4, F.col("block") % 4).mapInArrow(_add_counts(True), "block int, counts binary").collect()
-    out = np.zeros(1 << sh.SKETCH_BITS, np.uint8)
+    adders = blocks // 4
+    rows = rows.repartitionById(adders, F.col("block") % adders).mapInArrow(_add_counts(True), "block int, counts binary").collect()
+    out = np.zeros(slots, np.uint8)
     for r in rows:
         out[r.block * _BLOCK : (r.block + 1) * _BLOCK] = np.frombuffer(r.counts, np.uint8)
     return out
 
 
-def hot_grid(token, code, rows, hot: int = HOT):
+def hot_grid(token, code, rows, hot: int):
     """Copies of the entries of hot columns for each cell of the column's grid: (index of the entry, cell, side)."""
     cuts = np.ceil(sh.decoded(code) / hot).astype(np.int64)
     many = np.flatnonzero(cuts > 1)
@@ -321,17 +330,19 @@ def near_duplicates(records: DataFrame, id_column: str, text: Column, threshold:
     spark = records.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = records.select(F.col(id_column).alias("id"), text.alias("text")).where("id is not null and text is not null")
-    first = written(rows.mapInArrow(_pass_one(size, least_words), "id bigint, n int, h1 bigint, h2 bigint, block int, counts binary"), "classes")
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    slots = sh.sketch_size(chars)
+    first = written(rows.mapInArrow(_pass_one(size, least_words, slots), "id bigint, n int, h1 bigint, h2 bigint, block int, counts binary"), "classes")
     known = first.where("id is not null").select("id", "n", "h1", "h2")
     by_class = known.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     members = written(known.join(by_class, ["h1", "h2", "n"]).select("id", "rep", "copies"), "members")
     total = known.agg(F.sum("n")).first()[0] or 0
-    codes = frequency_codes(first)
+    codes = frequency_codes(first, slots)
     copied = flags(F.col("id"), members.where("copies > 1"))
     shared = spark.sparkContext.broadcast((codes, copied))
     parts = sh.partitions_for(total * ((1 - threshold) * 1.1), least)
     marked = rows.withColumn("mark", F.pmod(F.xxhash64("id"), F.lit(1 << _FLAG_BITS)))
-    posted = marked.mapInArrow(_post(size, least_words, threshold, shared, parts, HOT), "part int, blob binary")
+    posted = marked.mapInArrow(_post(size, least_words, threshold, shared, parts, sh.hot_from(chars, sh.HOT)), "part int, blob binary")
     blocks = posted.repartitionById(parts, "part").mapInArrow(_multiply(threshold, parts), "part int, blob binary")
     close = written(added_up(blocks, parts, LEAST), "candidates")
     wanted = spark.sparkContext.broadcast(flags(F.col("id"), close.select(F.explode(F.array("a", "b")).alias("id"))))

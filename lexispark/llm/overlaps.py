@@ -12,7 +12,7 @@ the intervals of its rarest shared suffixes, as many as the size-derived bound a
 texts stand together in at least ``LEAST`` of them, so no pair is lost, and the intervals of frequent phrases are never
 written out as pairs.  Pairs that stand together that often are compared exactly.
 
-A run of words that more than ``HOT`` texts have is dealt to several partitions, for the sorting as for the intervals.
+A run of words that more than ``sh.HOT`` texts have is dealt to several partitions, for the sorting as for the intervals.
 Which side has the run is told to each of these, so coverage is the same as without the dealing.
 """
 
@@ -33,8 +33,6 @@ from .words import chunks, mix, runs, split_words
 
 #: Intervals that a pair must share, and words of a suffix that are sorted beyond its first run (16 bits of each one's hash).
 LEAST, AHEAD = 4, 8
-#: Texts with one run beyond which its suffixes are dealt to several partitions.
-HOT = 20_000
 _U = np.uint64
 TRAIN, EVAL = 1, 2
 
@@ -120,7 +118,7 @@ def _suffixes(size: int, codes_of, parts: int, hot: int):
                 order = np.lexsort((hashes, doc))
                 new = np.concatenate([[True], (np.diff(doc[order]) != 0) | (np.diff(hashes[order]) != 0)])
                 n = np.bincount(doc[order], new, len(part)).astype(np.int32)
-                code, token = codes[sh.slots(hashes)], hashes >> _U(64 - sh.TOKEN_BITS)
+                code, token = codes[sh.slots(hashes, len(codes))], hashes >> _U(64 - sh.TOKEN_BITS)
                 keep = np.flatnonzero((code > 0) | (sides[at + doc] == TRAIN | EVAL))  # a run counted once is of one text
                 doc, start, code, token = doc[keep], start[keep], code[keep], token[keep]
                 after, end = words.first[doc] + start + size, words.first[doc + 1]
@@ -288,13 +286,14 @@ def overlaps(rows: DataFrame, id_column: str, field: Column, text: Column, is_tr
     classes = written(hashed.groupBy(*key).agg(F.min("text").alias("text"), side.alias("side"), F.first("words").alias("n"), F.count_if("is_train").alias("trains"), F.count_if(~F.col("is_train")).alias("evals")).withColumn("class", F.monotonically_increasing_id()), "classes")
     members = hashed.select("pair_id", *keep, "is_train", *key, "words").join(classes.select(*key, "class"), key).drop("h1", "h2")
     compared = classes.where(~F.col("field").isin(*whole) if whole else F.lit(True)).where(F.col("n") >= size).select("class", "text", "side")
-    counted = compared.select("class", "text").mapInArrow(_pass_one(size, size), "id bigint, n int, h1 bigint, h2 bigint, block int, counts binary")
-    codes = spark.sparkContext.broadcast(frequency_codes(counted))
     total = compared.agg(F.sum(F.length("text"))).first()[0] or 0
+    slots, hot = sh.sketch_size(total), sh.hot_from(total, sh.HOT)
+    counted = compared.select("class", "text").mapInArrow(_pass_one(size, size, slots), "id bigint, n int, h1 bigint, h2 bigint, block int, counts binary")
+    codes = spark.sparkContext.broadcast(frequency_codes(counted, slots))
     parts = sh.partitions_for(total / 6, least, 500_000)
-    entered = compared.mapInArrow(_suffixes(size, codes, parts, HOT), "part int, blob binary")
+    entered = compared.mapInArrow(_suffixes(size, codes, parts, hot), "part int, blob binary")
     spans = entered.repartitionById(parts, "part").mapInArrow(_shared_spans(size, parts), "part int, blob binary")
-    merged = written(spans.repartitionById(parts, "part").mapInArrow(_coverage(size, threshold, parts, HOT), "class bigint, covered int, spans int, longest int, part int, blob binary"), "coverage")
+    merged = written(spans.repartitionById(parts, "part").mapInArrow(_coverage(size, threshold, parts, hot), "class bigint, covered int, spans int, longest int, part int, blob binary"), "coverage")
     coverage = merged.where("class is not null").select("class", "covered", "spans", "longest")
     met = merged.where("part is not null").select("part", "blob").repartitionById(parts, "part").mapInArrow(_meet(threshold, parts), "part int, blob binary")
     close = written(added_up(met, parts, LEAST), "candidates")

@@ -13,15 +13,17 @@ import numpy as np
 
 from .words import mix, runs, split_words
 
-#: Bits of a slot of the frequency sketch: its size is fixed (2**22 counters, 4 MB when coded), whatever the input.
-SKETCH_BITS = 22
+#: Least and most bits of a slot of the frequency sketch (4 to 32 MB when coded), and characters of the input for a slot.
+SKETCH_BITS, SLOT_CHARS = (22, 25), 12
+#: Entries of one column (or of a run of words) beyond which it is cut up, where the sketch can tell such columns.
+HOT = 20_000
 TOKEN_BITS = 44
 _ONE = np.uint64(1)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays of equal length as byte planes, so that the shuffle's compression removes unused high bytes."""
-    return b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() for a in arrays)
+    return b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays)
 
 
 def unpack(blob: bytes, *dtypes) -> list[np.ndarray]:
@@ -65,8 +67,18 @@ def shingle_sets(texts: list[str | None], size: int, least_words: int) -> tuple[
     return doc, hashes
 
 
-def slots(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def sketch_size(chars: int) -> int:
+    """Slots of the sketch for texts of so many characters: a power of two that grows with them between two bounds."""
+    return 1 << min(SKETCH_BITS[1], max(SKETCH_BITS[0], math.ceil(math.log2(chars / SLOT_CHARS + 1))))
+
+
+def hot_from(chars: int, hot: int = HOT) -> int:
+    """Count from which a column is hot: well above what the slots hold on average, so that no usual one is taken for it."""
+    return max(hot, 4 * (chars // 6) // sketch_size(chars))
+
+
+def slots(hashes: np.ndarray, count: int) -> np.ndarray:
+    return (hashes >> np.uint64(65 - int(count).bit_length())).astype(np.int64)
 
 
 def set_hashes(doc: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -92,7 +104,7 @@ def decoded(code: np.ndarray) -> np.ndarray:
 
 def prefixes(doc, hashes, codes, threshold: float, least: int):
     """Rarest-first prefix of each set: (document index, token, code, position, size of the set), one row per shingle."""
-    code = codes[slots(hashes)]
+    code = codes[slots(hashes, len(codes))]
     token = hashes >> np.uint64(64 - TOKEN_BITS)
     key = (doc.astype(np.uint64) << np.uint64(52)) | (code.astype(np.uint64) << np.uint64(TOKEN_BITS)) | token
     order = np.argsort(key, kind="stable")

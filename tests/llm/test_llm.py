@@ -1,6 +1,7 @@
 import random
 import re
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -140,7 +141,7 @@ def test_leaks_with_an_edit_and_in_blocks(spark, monkeypatch):
 
 @pytest.mark.parametrize("hot", [20_000, 3])
 def test_overlaps_against_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(overlaps, "HOT", hot)  # once with the suffixes of every run in a grid
+    monkeypatch.setattr(overlaps.sh, "HOT", hot)  # once with the suffixes of every run in a grid
     monkeypatch.setattr(near_duplicates, "_SKETCHES", 20_000 if hot > 3 else 2)
     rng = random.Random(7)
     base = [sentence(rng, rng.choice([1, 2, 3, 6, 30, 60]), 120) for _ in range(60)]
@@ -214,8 +215,7 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
     sets = {i: shingles(t) for i, t in rows if len(words(t)) >= 25}
     expected = {(a, b) for a in sets for b in sets if a < b and similarity(sets[a], sets[b]) >= 0.6 - 1e-9}
     for hot in (20_000, 5):  # once with every column cut into a grid
-        monkeypatch.setattr(near_duplicates, "HOT", hot)
-        monkeypatch.setattr(near_duplicates.hot_grid, "__defaults__", (hot,))
+        monkeypatch.setattr(near_duplicates.sh, "HOT", hot)
         found = near_duplicates.near_duplicates(frame, "row_id", F.col("text"), 0.6, 3, 25)
         got = [(r.row_id_a, r.row_id_b) for r in near_duplicates.all_pairs(found).collect()]
         assert len(got) == len(set(got)) and set(got) == expected and len(expected) > 200
@@ -237,8 +237,7 @@ def test_copies_in_a_grid_are_one_row(spark, monkeypatch):
     hot = sentence(rng, 40)
     near = " ".join([*hot.split()[:-1], "autre"])
     rows = [(k, hot) for k in range(100)] + [(100, near)] + [(k, sentence(rng, 40)) for k in range(101, 200)]
-    monkeypatch.setattr(near_duplicates, "HOT", 30)
-    monkeypatch.setattr(near_duplicates.hot_grid, "__defaults__", (30,))
+    monkeypatch.setattr(near_duplicates.sh, "HOT", 30)
     batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
     rows_of_batch = spark.conf.get(batch)
     spark.conf.set(batch, 4)  # copies of one batch are one row before the grid
@@ -250,6 +249,24 @@ def test_copies_in_a_grid_are_one_row(spark, monkeypatch):
         spark.conf.set(batch, rows_of_batch)
 
 
+def test_sketch_grows_with_the_input():
+    sizes = [near_duplicates.sh.sketch_size(c) for c in (0, 10**6, 10**8, 10**10, 10**14)]
+    assert sizes == sorted(sizes) and sizes[0] == 1 << 22 and sizes[2] == 1 << 23 and sizes[-1] == 1 << 25
+    hot = [near_duplicates.sh.hot_from(c) for c in (0, 10**10, 10**14)]
+    assert hot[:2] == [20_000] * 2 and hot[2] == 4 * (10**14 // 6) // (1 << 25)  # no usual column is hot
+    part = np.zeros(1 << 18, np.uint32)
+    part[[3, 5, 9]] = 1, 254, 10**6
+    assert (near_duplicates._counts_of(near_duplicates._counted(part)) == part).all()
+
+
+def test_counts_are_added_up_in_more_partitions(spark):
+    rng = random.Random(31)
+    pairs = [(rng.randrange(50), 100 + rng.randrange(50)) for _ in range(4000)]
+    blobs = [(0, bytearray(near_duplicates.sh.pack(np.array([p[0] for p in pairs[k : k + 500]]), np.array([p[1] for p in pairs[k : k + 500]]), np.ones(500, np.uint16)))) for k in range(0, 4000, 500)]
+    got = near_duplicates.added_up(spark.createDataFrame(blobs, "part int, blob binary"), 1, 2, each=700).collect()
+    assert len(got) == len({tuple(r) for r in got}) and {tuple(r) for r in got} == {p for p, n in Counter(pairs).items() if n > 1}
+
+
 def test_record_text(spark):
     rows = spark.createDataFrame([("t", "c"), (None, "c"), ("t", " \u00a0\n"), ("t", None)], "title string, content string")
     assert [r.x for r in rows.select(near_duplicates.record_text(F.col("title"), F.col("content")).alias("x")).collect()] == ["t c", "c", None, None]
