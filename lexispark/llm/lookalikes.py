@@ -1,10 +1,12 @@
 """One consistent form for texts that look the same but are stored with different characters.
 
-The spellings of a look-alike class are the words of the corpus that have one skeleton (the form that the tables below
-give).  In each partition the clean spellings form a trie; every other word walks it with a weighted edit automaton for
-which look-alike letters, stored accents and characters that show as nothing cost nothing, and takes the cheapest and
-then most frequent spelling it reaches.  Words that reach none are rewritten by the tables.  A spelling depends on the
-skeleton only, so texts that look the same come out equal.
+The words of the corpus are a vocabulary.  Its clean spellings (stored plainly, in letters of one script) form tries, one
+for each bucket of words that begin alike; every odd word walks the trie of its bucket with a weighted edit automaton:
+look-alike letters, accents stored apart, forms that stand for ordinary characters and characters that show as nothing
+cost nothing, any edit that a reader would see costs one.  Of the spellings within the budget the cheapest and then most
+frequent one is taken.  The budget is 0 by default, since a text must look as before; words that reach no spelling are
+rewritten by the tables.  Whatever bucket and trie, words that look the same reach the same spellings, so texts that look
+the same come out equal.
 """
 
 from __future__ import annotations
@@ -99,6 +101,11 @@ def by_table(form: str) -> str:
     return unicodedata.normalize("NFC", "".join(_BACK[main].get(c, c) for c in unicodedata.normalize("NFD", form)))
 
 
+def _units(word: str) -> str:
+    """What the automaton reads: ordinary characters with the accents apart, without what shows as nothing."""
+    return unicodedata.normalize("NFD", "".join(map(plain, word)))
+
+
 class Trie:
     """Clean spellings with their frequencies, by their characters with the accents apart."""
 
@@ -109,32 +116,48 @@ class Trie:
         node = self.root
         for c in unicodedata.normalize("NFD", word):
             node = node.setdefault(c, {})
-        node[""] = (word, count)
+        node[""] = (word, count + node[""][1] if "" in node else count)
 
     def nearest(self, word: str, budget: int = 0) -> str | None:
-        """Cheapest, then most frequent, then smallest spelling within the budget: look-alikes and ignorables are free."""
-        states = {id(self.root): (0, self.root)}
-        for c in unicodedata.normalize("NFD", "".join(map(plain, word))):
-            moved: dict[int, tuple] = {}
-
-            def reach(cost, node, moved=moved):
-                if cost <= budget and moved.get(id(node), (cost + 1,))[0] > cost:
-                    moved[id(node)] = (cost, node)
+        """Cheapest, then most frequent, then smallest spelling within the budget: look-alikes and ignorables are free.
 
+        The states of the automaton are nodes of the trie with what it cost to reach them.
+        """
+        states = self._with_missing({id(self.root): (0, self.root)}, budget)
+        for c in _units(word):
+            moved: dict[int, tuple] = {}
             latin = LOOK_ALIKE.get(c, c)
             for cost, node in states.values():
-                reach(cost + 1, node)
+                if cost < budget:
+                    self._reach(moved, cost + 1, node)  # a character more than the spelling has
                 for other, below in node.items():
                     if other:
-                        reach(cost + (other != c and LOOK_ALIKE.get(other, other) != latin), below)
-                        if cost < budget:
-                            for far, deep in below.items():
-                                if far:
-                                    reach(cost + 1 + (far != c and LOOK_ALIKE.get(far, far) != latin), deep)
-            states = moved
+                        price = cost + (other != c and LOOK_ALIKE.get(other, other) != latin)
+                        if price <= budget:
+                            self._reach(moved, price, below)
+            states = self._with_missing(moved, budget)
+            if not states:
+                return None
         ends = [(cost, -node[""][1], node[""][0]) for cost, node in states.values() if "" in node]
         return min(ends)[2] if ends else None
 
+    @staticmethod
+    def _reach(states: dict[int, tuple], cost: int, node: dict) -> None:
+        if id(node) not in states or states[id(node)][0] > cost:
+            states[id(node)] = (cost, node)
+
+    def _with_missing(self, states: dict[int, tuple], budget: int) -> dict[int, tuple]:
+        """The states, and those that characters of a spelling which the word lacks lead to."""
+        work = [s for s in states.values() if s[0] < budget]
+        while work:
+            cost, node = work.pop()
+            for other, below in node.items():
+                if other and states.get(id(below), (cost + 2,))[0] > cost + 1:
+                    states[id(below)] = (cost + 1, below)
+                    if cost + 1 < budget:
+                        work.append((cost + 1, below))
+        return states
+
 
 def _spaces() -> re.Pattern:
     return re.compile("[" + "".join(chr(c) for c in range(0x80, 0x3001) if unicodedata.category(chr(c)) == "Zs") + "]")
@@ -180,29 +203,52 @@ def odd_form(word: str) -> str | None:
     return None if form == word and clean(word) else form
 
 
-def _vocabulary(batches):
-    """Words of each batch, with their skeleton where it isn't the word itself."""
-    for batch in batches:
-        counts: Counter = Counter()
-        for text in batch.column(0).to_pylist():
-            if text is not None:
-                counts.update(_TOKEN.findall(spaced(text)))
-        words = list(counts)
-        forms = [odd_form(w) for w in words]
-        yield pa.record_batch({"word": pa.array(words, pa.string()), "form": pa.array(forms, pa.string()), "count": pa.array(counts.values(), pa.int64())})
-
-
-def _spellings(batches):
-    """Canonical spelling of each word that isn't its own skeleton; all spellings of a skeleton are in one partition."""
-    rows = [r for batch in batches for r in zip(*(batch.column(k).to_pylist() for k in ("word", "form", "count", "pure")), strict=True)]
-    trie = Trie()
-    for word, form, count, pure in rows:
-        if pure:  # where the skeleton itself is a word, it is the spelling
-            trie.add(form, count)
-        elif clean(word):
-            trie.add(word, count)
-    out = [(word, spelling) for word, form, _, _ in rows if (spelling := trie.nearest(word) or by_table(form)) != word]
-    yield pa.record_batch({"word": pa.array([w for w, _ in out], pa.string()), "spelling": pa.array([s for _, s in out], pa.string())})
+#: Characters of a skeleton that put a word into its bucket, besides its length.
+BUCKET_CHARS = 4
+
+
+def _vocabulary(budget: int):
+    """Words of each batch: once to be put into the trie (``walks`` false) if clean, once to walk it if odd."""
+    head = BUCKET_CHARS if not budget else 0  # edits may change how a word begins, and its length
+
+    def run(batches):
+        for batch in batches:
+            counts: Counter = Counter()
+            for text in batch.column(0).to_pylist():
+                if text is not None:
+                    counts.update(_TOKEN.findall(spaced(text)))
+            rows = []
+            for word, count in counts.items():
+                form = odd_form(word)
+                bucket = f"{len(form or word)}{(form or word)[:head]}" if head else (form or word)[:1]
+                if form is not None:
+                    rows.append((bucket, word, True, 0))
+                if form is None or clean(word):
+                    rows.append((bucket, word, False, count))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+            kinds = {"bucket": pa.string(), "word": pa.string(), "walks": pa.bool_(), "count": pa.int64()}
+            yield pa.record_batch({n: pa.array(c, k) for (n, k), c in zip(kinds.items(), columns, strict=True)})
+
+    return run
+
+
+def _spellings(budget: int):
+    """Canonical spelling of each odd word.  Rows come bucket by bucket, those for its trie before those that walk it."""
+
+    def run(batches):
+        at, trie = None, Trie()
+        for batch in batches:
+            out = []
+            for bucket, word, walks, count in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if bucket != at:
+                    at, trie = bucket, Trie()
+                if not walks:
+                    trie.add(word, count)
+                elif (spelling := trie.nearest(word, budget) or by_table(skeleton(word))) != word:
+                    out.append((word, spelling))
+            yield pa.record_batch({"word": pa.array([w for w, _ in out], pa.string()), "spelling": pa.array([s for _, s in out], pa.string())})
+
+    return run
 
 
 def _odd_words(batches):
@@ -227,21 +273,22 @@ def _rewritten(batches):
         yield pa.record_batch({"id": batch.column("id"), "text": batch.column("text"), "canonical": pa.array(out, pa.string())})
 
 
-def canonical_texts(items: DataFrame, id_column: str, text: Column) -> DataFrame:
+def canonical_texts(items: DataFrame, id_column: str, text: Column, budget: int = 0) -> DataFrame:
     """id, text and its consistent form ``canonical``; equal for texts that look the same, and looking like the text.
 
-    A null text stays null and an empty one empty.  Ids must be unique.  The words of all texts are in the vocabulary,
-    those that are their own skeleton by its hash alone; only texts that hold an odd character are joined with the
-    spellings of their odd words, all others keep their words as they are and are never shuffled.
+    A null text stays null and an empty one empty.  Ids must be unique.  The words of all texts are in the vocabulary;
+    buckets without an odd word build no trie, and only texts that hold an odd character are joined with the spellings
+    of their odd words: all others keep their words as they are and are never shuffled.  A ``budget`` above 0 lets odd
+    words (those with odd characters only) be changed by so many visible edits into a spelling of the corpus; buckets are
+    then all words with one first letter, and words that the tables would leave alike may part.
     """
     rows = items.select(F.col(id_column).alias("id"), text.alias("text"))
     kind = items.schema[id_column].dataType.simpleString()
-    counted = rows.select("text").mapInArrow(_vocabulary, "word string, form string, count bigint")
-    by_form = counted.select(F.xxhash64(F.coalesce("form", "word")).alias("key"), F.when(F.col("form").isNotNull(), F.col("word")).alias("word"), "form", "count").repartition("key")
-    by_form = by_form.groupBy("key", "word", "form").agg(F.sum("count").alias("count"))
-    by_form = by_form.groupBy("key").agg(F.max(F.col("word").isNull()).alias("pure"), F.collect_list(F.when(F.col("word").isNotNull(), F.struct("word", "form", "count"))).alias("odd"))
-    known = by_form.select("pure", F.explode("odd").alias("x")).select("x.word", "x.form", "x.count", "pure")
-    spellings = written(known.mapInArrow(_spellings, "word string, spelling string"), "spellings")
+    counted = rows.select("text").mapInArrow(_vocabulary(budget), "bucket string, word string, walks boolean, count bigint")
+    words = written(counted.groupBy("bucket", "word", "walks").agg(F.sum("count").alias("count")), "vocabulary")
+    asked = words.join(words.where("walks").select("bucket").distinct(), "bucket", "left_semi")
+    known = asked.repartition("bucket").sortWithinPartitions("bucket", "walks").select("bucket", "word", "walks", "count")
+    spellings = written(known.mapInArrow(_spellings(budget), "word string, spelling string"), "spellings")
     odd = rows.where(F.col("text").rlike(odd_characters()))
     wanted = odd.mapInArrow(_odd_words, f"id {kind}, word string")
     changes = wanted.join(spellings, "word").groupBy("id").agg(F.collect_list(F.struct("word", "spelling")).alias("words"))
