@@ -27,14 +27,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 #: Vocabulary that lengths are counted in: a public file, outside this repository.
 VOCABULARY = os.environ.get("LEXISPARK_VOCABULARY", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
-#: Domain of each source of the mixture (a parameter of the operator; these are the test corpus's sources).
-DOMAINS = {
-    **dict.fromkeys(("greffe-central", "jurispro", "arbitrage", "chambre-travail", "sentences-etrangeres", "droit-maritime", "protection-mineurs"), "decisions"),
-    **dict.fromkeys(("recueil-baux", "actes-notaires", "marches-publics", "brevets"), "deeds"),
-    **dict.fromkeys(("bulletin-fiscal", "avis-communaux", "glossaire", "traductions"), "publications"),
-    **dict.fromkeys(("notes-cliniques", "ordre-medecins"), "medicine"),
-    "forum-usagers": "forum",
-}
 
 
 def query(f):
@@ -182,10 +174,23 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
     return fill_report(_packed(spark, folder))
 
 
+@query
+def p6_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """For every profile, what any right packing keeps: every document is there once and whole, only those over the
+    capacity are cut, no container holds more than its size or is larger than the capacity; and few tokens are left."""
+    packed = written(_packed(spark, folder), "packed")
+    by_item = packed.groupBy("profile", "capacity", "id").agg(F.sum("length").alias("length"), F.max("tokens").alias("tokens"), F.count("*").alias("pieces"), F.count_distinct("piece_no").alias("numbers"))
+    cut = (F.col("pieces") > 1) & (F.col("tokens") <= F.col("capacity"))
+    items = by_item.groupBy("profile", "capacity").agg(F.count("*").alias("documents"), F.count_if(F.col("length") != F.col("tokens")).alias("not_whole"), F.count_if(cut | (F.col("pieces") != F.col("numbers"))).alias("cut_in_vain"))
+    bins = packed.groupBy("profile", "container").agg(F.sum("length").alias("used"), F.first("container_size").alias("size"), F.first("capacity").alias("most"))
+    bins = bins.groupBy("profile").agg(F.count_if((F.col("used") > F.col("size")) | (F.col("size") > F.col("most"))).alias("too_full"), (F.sum("used") / F.sum("size") > 0.95).alias("well_filled"))
+    return items.join(bins, "profile")
+
+
 def _mixture(spark: SparkSession, folder: str):
     columns = {"id": F.col("doc_id"), "source": F.col("source"), "lang": F.col("lang")}
     counted = token_counts(table(spark, folder, "documents"), columns, F.col("text"), VOCABULARY)
-    return mix(counted, table(spark, folder, "mix_targets"), DOMAINS)
+    return mix(counted, table(spark, folder, "mix_targets"))
 
 
 @query
@@ -198,3 +203,20 @@ def p7_documents(spark: SparkSession, folder: str) -> DataFrame:
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Target and reached share of every source."""
     return _mixture(spark, folder).shares
+
+
+@query
+def p7_leaves(spark: SparkSession, folder: str) -> DataFrame:
+    """Budget and tokens of every domain, language and source."""
+    return _mixture(spark, folder).leaves
+
+
+@query
+def p7_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """For every target, what any right mixture keeps: repeats within the limit, tokens within the longest documents of
+    what the leaves were given, and no source over its share unless another can't reach its own."""
+    found = _mixture(spark, folder)
+    longest = found.documents.groupBy("source").agg(F.max("tokens").alias("longest"))
+    rows = found.shares.join(longest, "source", "left")
+    near = F.abs(F.col("tokens") - F.col("budget")) <= F.coalesce("longest", F.lit(0)) * F.col("languages")
+    return rows.select("source", "target_share", "max_repeats", (F.col("most_copies") <= F.col("max_repeats")).alias("within_repeats"), near.alias("near_budget"))

