@@ -72,15 +72,15 @@ def _counts_of(blob: bytes) -> np.ndarray:
 
 def _pass_one(size: int, least_words: int, slots: int):
     def run(batches):
-        sketch = np.zeros(slots, np.uint32)
+        sketch = sh.Sketch(slots)
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
             for at, part in chunks(texts):
                 doc, hashes = sh.shingle_sets(part, size, least_words)
-                np.add.at(sketch, sh.slots(hashes, slots), 1)
+                sketch.add(sh.slots(hashes, slots))
                 which, sizes, one, two = sh.set_hashes(doc, hashes)
                 yield pa.record_batch({"id": pa.array(ids[at + which], pa.int64()), "n": pa.array(sizes, pa.int32()), "h1": pa.array(one), "h2": pa.array(two), "block": pa.nulls(len(which), pa.int32()), "counts": pa.nulls(len(which), pa.binary())})
-        blobs = {k: _counted(part) for k, part in enumerate(sketch.reshape(-1, _BLOCK)) if part.any()}
+        blobs = {k: _counted(part) for k, part in sketch.blocks(_BLOCK)}
         none = pa.nulls(len(blobs), pa.int64())
         yield pa.record_batch({"id": none, "n": none.cast(pa.int32()), "h1": none, "h2": none, "block": pa.array(list(blobs), pa.int32()), "counts": pa.array(list(blobs.values()), pa.binary())})
 

@@ -14,7 +14,7 @@ import numpy as np
 from .words import mix, runs, split_words
 
 #: Least and most bits of a slot of the frequency sketch (4 to 32 MB when coded), and characters of the input for a slot.
-SKETCH_BITS, SLOT_CHARS = (22, 25), 12
+SKETCH_BITS, SLOT_CHARS = (22, 25), 6
 #: Entries of one column (or of a run of words) beyond which it is cut up, where the sketch can tell such columns.
 HOT = 20_000
 TOKEN_BITS = 44
@@ -77,6 +77,30 @@ def hot_from(chars: int, hot: int = HOT) -> int:
     return max(hot, 4 * (chars // 6) // sketch_size(chars))
 
 
+class Sketch:
+    """Counters of one byte, with a list for what goes beyond: 32 MB a task at most."""
+
+    def __init__(self, count: int):
+        self.low, self.over = np.zeros(count, np.uint8), {}
+
+    def add(self, at: np.ndarray) -> None:
+        at, more = np.unique(at, return_counts=True)
+        total = self.low[at] + more
+        self.low[at] = total % 255
+        for slot, n in zip(at[total >= 255].tolist(), (total[total >= 255] // 255 * 255).tolist(), strict=True):
+            self.over[slot] = self.over.get(slot, 0) + n
+
+    def blocks(self, size: int):
+        """(number, counters) of each block of ``size`` slots that isn't empty."""
+        slot, n = (np.array(list(x), np.int64) for x in (self.over.keys(), self.over.values()))
+        for k in range(len(self.low) // size):
+            part = self.low[k * size : (k + 1) * size].astype(np.uint32)
+            mine = slot // size == k
+            part[slot[mine] - k * size] += n[mine].astype(np.uint32)
+            if part.any():
+                yield k, part
+
+
 def slots(hashes: np.ndarray, count: int) -> np.ndarray:
     return (hashes >> np.uint64(65 - int(count).bit_length())).astype(np.int64)
 
