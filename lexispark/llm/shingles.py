@@ -14,7 +14,7 @@ import numpy as np
 from .words import mix, runs, split_words
 
 #: Least and most bits of a slot of the frequency sketch (4 to 32 MB when coded), and characters of the input for a slot.
-SKETCH_BITS, SLOT_CHARS = (22, 25), 6
+SKETCH_BITS, SLOT_CHARS = (22, 25), 24
 #: Entries of one column (or of a run of words) beyond which it is cut up, where the sketch can tell such columns.
 HOT = 20_000
 TOKEN_BITS = 44
