@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.lexical import Bm25, coverage, term_stats
 from ..operators.metrics import report
 from ..operators.scoring import decide, keyword_score, overlap_share
+from ..storage import written
 
 
 def scored_cases(cases: DataFrame, extra: dict[str, Column] | None = None) -> DataFrame:
@@ -30,12 +31,15 @@ def scored_cases(cases: DataFrame, extra: dict[str, Column] | None = None) -> Da
 
 
 def suite_report(cases: DataFrame, threshold: float = 0.5) -> DataFrame:
-    return report(scored_cases(cases), ["suite", "scorer"], "query", threshold)
+    return report(written(scored_cases(cases), "scored"), ["suite", "scorer"], "query", threshold)
 
 
-def as_markdown(rows: DataFrame, columns: list[str]) -> str:
-    """The report as a table in Markdown (a few rows: one for each suite and scorer)."""
+def as_markdown(rows: DataFrame, columns: list[str], most: int = 10_000) -> str:
+    """The report as a table in Markdown (one row for each suite and scorer); more rows than ``most`` are refused."""
+    found = rows.select(*columns).orderBy(*columns[:2]).limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows for a table in Markdown")
     lines = ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
-    for r in rows.select(*columns).orderBy(*columns[:2]).limit(1000).collect():
+    for r in found:
         lines.append("| " + " | ".join("" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v) for v in r) + " |")
     return "\n".join(lines)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import io
 import re
 import zipfile
@@ -32,7 +33,7 @@ def why_skipped(path: Column, size: Column, max_bytes: int = MAX_BYTES) -> Colum
 
 
 def docx_text(data: bytes) -> str:
-    """Paragraphs of a Word file, a blank line between them."""
+    """Paragraphs of a Word file that hold something, trimmed, a blank line between them."""
     w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
     with zipfile.ZipFile(io.BytesIO(data)) as archive:
         if archive.getinfo("word/document.xml").file_size > MAX_XML:
@@ -40,13 +41,13 @@ def docx_text(data: bytes) -> str:
         tree = ElementTree.fromstring(archive.read("word/document.xml"))
     marks = {f"{w}tab": "\t", f"{w}br": "\n", f"{w}cr": "\n"}
     found = ("".join(n.text or "" if n.tag == f"{w}t" else marks.get(n.tag, "") for n in p.iter()) for p in tree.iter(f"{w}p"))
-    return "\n\n".join(found)
+    return "\n\n".join(filter(None, map(str.strip, found)))
 
 
 def pdf_text(data: bytes) -> str:
     from pypdf import PdfReader
 
-    return "\n\n".join(page.extract_text() or "" for page in PdfReader(io.BytesIO(data)).pages)
+    return "\n\n".join((page.extract_text() or "").strip() for page in PdfReader(io.BytesIO(data)).pages)
 
 
 def text_of(name: str, data: bytes) -> str:
@@ -95,18 +96,60 @@ def scan_folder(spark: SparkSession, folder: str, max_bytes: int = MAX_BYTES, ma
     return documents, skipped
 
 
-def unique_names(rows: DataFrame, name: str, order: str) -> DataFrame:
-    """Rows with ``unique_name``: the n-th row of a name beyond the first gets ``stem (n).suffix``."""
-    number = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
-    bare = F.element_at(F.split(F.col(name), r"[/\\]"), -1)
-    stem, ending = F.regexp_replace(bare, r"\.[^.]*$", ""), F.regexp_extract(bare, r"(\.[^.]*)$", 1)
-    return rows.withColumn("unique_name", F.when(number == 0, bare).otherwise(F.concat(stem, F.lit(" ("), number.cast("string"), F.lit(")"), ending)))
+def unique_names(rows: DataFrame, name: str, order: str, bucket_rows: int = 100_000) -> DataFrame:
+    """Rows with ``unique_name``: the base name, from the second row of a base name on as ``stem (n).suffix``.
 
-
-def uploads(rows: DataFrame, name: str = "name", data: str = "data", text: str = "text", order: str = "position") -> DataFrame:
-    """Uploaded documents (base64 data or text, in order): unique_name and text; those without readable text are left out."""
-    body = F.coalesce(F.col(text), F.decode(F.unbase64(F.col(data)), "UTF-8"))
-    return unique_names(rows, name, order).select("unique_name", body.alias("text")).where(F.trim("text") != "")
+    A null or empty name counts as ``document.txt``.  Rows are numbered in two steps: a name's rows are dealt to ranges of
+    ``order`` (a number, unique), which are counted first, so that no name is sorted in one task.
+    """
+    path = F.coalesce(F.nullif(F.col(name), F.lit("")), F.lit("document.txt"))
+    base = F.element_at(F.split(F.regexp_replace(path, "/+$", ""), "/"), -1)
+    span = rows.agg(F.min(order).alias("low"), F.max(order).alias("high"), F.count("*").alias("n"))
+    width = F.greatest(F.lit(1.0), (F.col("high") - F.col("low") + 1) / F.greatest(F.lit(1), F.ceil(F.col("n") / bucket_rows)))
+    limits = span.select(F.col("low").alias("_low"), width.alias("_width"))
+    placed = rows.withColumn("_base", base).crossJoin(F.broadcast(limits)).withColumn("_range", F.floor((F.col(order) - F.col("_low")) / F.col("_width")))
+    counts = placed.groupBy("_base", "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_base").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_base", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    number = F.row_number().over(Window.partitionBy("_base", "_range").orderBy(order)) + F.col("_offset")
+    numbered = placed.join(offsets, ["_base", "_range"]).withColumn("_number", number)
+    parts = [F.regexp_extract("_base", r"^(.+?)(\.[^.]+)?$", k) for k in (1, 2)]
+    unique = F.when(F.col("_number") == 1, F.col("_base")).otherwise(F.concat(parts[0], F.lit(" ("), F.col("_number").cast("string"), F.lit(")"), parts[1]))
+    return numbered.withColumn("unique_name", unique).select(*rows.columns, "unique_name")
+
+
+def _upload_texts(batches):
+    for batch in batches:
+        texts, reasons = [], []
+        for name, data, text in zip(*(batch.column(c).to_pylist() for c in ("unique_name", "data", "text")), strict=True):
+            found, reason = None, None
+            if not name.lower().endswith(SUFFIXES):
+                reason = "type"
+            elif data is None:
+                found = text
+            else:
+                try:
+                    found = text_of(name, base64.b64decode(data, validate=True))
+                except ImportError:
+                    reason = "reader not installed"
+                except Exception as e:  # one broken upload never ends the others
+                    reason = f"unreadable: {type(e).__name__}"
+            if reason is None and not (found or "").strip():
+                found, reason = None, "no readable text"
+            texts.append(found)
+            reasons.append(reason)
+        yield pa.record_batch({"unique_name": batch.column("unique_name"), "text": pa.array(texts, pa.string()), "reason": pa.array(reasons, pa.string())})
+
+
+def uploads(rows: DataFrame, name: str = "name", data: str = "data", text: str = "text", order: str = "position") -> tuple[DataFrame, DataFrame]:
+    """(documents: unique_name, text; skipped: unique_name, reason) of uploads: base64 data of any known type, or text.
+
+    Data are read by the type that the name ends in; a row without data has its text taken as it is.  A name of another
+    type, broken data and a text without anything to read are skipped, with the reason.
+    """
+    named = unique_names(rows, name, order).select("unique_name", F.col(data).alias("data"), F.col(text).alias("text"))
+    read = named.mapInArrow(_upload_texts, "unique_name string, text string, reason string")
+    return read.where("reason is null").select("unique_name", "text"), read.where("reason is not null").select("unique_name", "reason")
 
 
 def read_tsv(spark: SparkSession, path: str, most: int = 500) -> DataFrame:
@@ -120,10 +163,18 @@ def read_tsv(spark: SparkSession, path: str, most: int = 500) -> DataFrame:
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    """Labelled cases of a JSONL file; blank lines are skipped, a label that isn't 0 or 1 is an error."""
-    rows = spark.read.schema(CASE_SCHEMA).json(path).where("query is not null or doc is not null or label is not null")
-    checked = F.when(F.col("label").isin(0, 1), F.col("label")).otherwise(F.raise_error(F.lit("a label is neither 0 nor 1")).cast("int"))
-    return rows.withColumn("label", checked).withColumn("category", F.coalesce("category", F.lit("uncategorized")))
+    """Labelled cases of JSONL files; blank lines are skipped, a case without id has its line number for one.
+
+    A label that isn't 0 or 1, or a line that isn't JSON, is an error that names the line.  Suites are small files, each
+    read as a whole, since only that tells line numbers.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "line"))
+    lines = files.where(F.trim("line") != "").select("file", (F.col("at") + 1).alias("number"), F.from_json("line", CASE_SCHEMA).alias("x"))
+    where = F.concat(F.col("file"), F.lit(":"), F.col("number"), F.lit(": the label must be 0 or 1"))
+    label = F.when(F.col("x.label").isin(0, 1), F.col("x.label")).otherwise(F.raise_error(where).cast("int"))
+    columns = {"id": F.coalesce("x.id", F.col("number").cast("string")), "category": F.coalesce("x.category", F.lit("uncategorized")), "label": label}
+    names = [f.split()[0] for f in CASE_SCHEMA.split(", ")]
+    return lines.select(*[columns.get(n, F.col(f"x.{n}")).alias(n) for n in names])
 
 
 def write_jsonl(rows: DataFrame, path: str) -> None:

@@ -155,8 +155,8 @@ SELECT left(sha1(title || chr(10) || content), 12) AS doc_id, jurisdiction, CASE
     "cosine_topk": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT a.vec_id AS qid, b.vec_id AS pid, list_inner_product(a.e, b.e) AS c FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
 SELECT qid, rank::INT AS rank, pid, round(c, 5) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(c, 12) DESC, pid) AS rank FROM s) WHERE rank <= 10""",
     "vector_store_gaps": f"WITH {PAIRS} SELECT DISTINCT sha256(content) AS text_key FROM pairs WHERE content IS NOT NULL AND content NOT IN (SELECT content FROM contrastive_train WHERE content IS NOT NULL)",
-    "uploaded_names": """SELECT row_id, CASE WHEN k = 1 THEN f ELSE regexp_replace(f, '\\.[^.]*$', '') || ' (' || (k - 1) || ')' || regexp_extract(f, '(\\.[^.]*)$', 1) END AS unique_name
-FROM (SELECT row_id, source_file AS f, row_number() OVER (PARTITION BY source_file ORDER BY row_id) AS k FROM legal_records)""",
+    "uploaded_names": """SELECT row_id, CASE WHEN k = 1 THEN f WHEN f LIKE '_%.%' THEN regexp_replace(f, '\\.[^.]*$', '') || ' (' || k || ')' || regexp_extract(f, '\\.[^.]*$') ELSE f || ' (' || k || ')' END AS unique_name
+FROM (SELECT row_id, f, row_number() OVER (PARTITION BY f ORDER BY row_id) AS k FROM (SELECT row_id, string_split(coalesce(nullif(source_file, ''), 'document.txt'), '/')[-1] AS f FROM legal_records))""",
     "skipped_files": f"""WITH p AS (SELECT n_chars, string_split(file_name, '/') AS parts, '.' || lower(string_split(file_name, '.')[-1]) AS suffix FROM documents)
 SELECT CASE WHEN parts IS NULL THEN 'no name' WHEN len(list_filter(parts, lambda x: x LIKE '.%' OR list_contains({quoted(SKIPPED_FOLDERS)}, x))) > 0 THEN 'hidden folder' WHEN NOT list_contains({quoted(SUFFIXES)}, suffix) THEN 'type'
   WHEN n_chars > 26214400 THEN 'file too large' ELSE 'taken' END AS reason, count(*) AS n FROM p GROUP BY ALL""",
