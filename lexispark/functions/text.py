@@ -5,10 +5,8 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Words that carry no topic, French and English, without accents. Negations are not among them.
 FRENCH_STOPWORDS = """
@@ -48,38 +46,53 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _spans(codes: list[int]) -> str:
+    """Inside of a pattern's brackets for the code points, given in order."""
+    starts = [c for c, before in zip(codes, [-2, *codes], strict=False) if c != before + 1]
+    ends = [c for c, after in zip(codes, [*codes[1:], -2], strict=True) if c != after - 1]
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(starts, ends, strict=True))
+
+
 @lru_cache(1)
-def _letters() -> tuple[str, str]:
-    """Accented letters that fold to one letter, and what they fold to."""
-    pairs = {}
-    for cp in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
-        low = chr(cp).lower()
-        base = [c for c in unicodedata.normalize("NFKD", low) if not unicodedata.combining(c)]
-        if len(low) == 1 and len(base) == 1 and base[0] != low:
-            pairs[low] = base[0]
-    return "".join(pairs), "".join(pairs.values())
+def _foldings() -> tuple[str, str, dict[str, str], str]:
+    """Characters that fold to one character and what to, those that fold to several, and the marks that fall away.
 
+    By rule: the compatibility decomposition without combining marks.  Hangul syllables and what decomposes into other
+    scripts' signs without a letter or digit are left as they are: no term depends on them.
+    """
+    one, several, marks = {}, {}, []
+    for cp in [*range(0xA0, 0xAC00), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F200)]:
+        ch = chr(cp)
+        if unicodedata.combining(ch):
+            marks.append(cp)
+            continue
+        base = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
+        if base != ch and len(base) == 1:
+            one[ch] = base
+        elif base != ch and any(c.isalnum() for c in base):
+            several[ch] = base
+    return "".join(one), "".join(one.values()), several, "".join(map(chr, marks))
 
-@F.pandas_udf(StringType())
-def _folded_by_table(text: pd.Series) -> pd.Series:
-    def fold(t):
-        return None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t.lower()) if not unicodedata.combining(c))
 
-    return text.map(fold, na_action="ignore")
+@lru_cache(1)
+def _folding_arguments() -> tuple[str, str, str, str]:
+    letters, plain, several, marks = _foldings()
+    rare = f"[[\\x{{BC}}-\\x{{BE}}\\x{{100}}-\\x{{10FFFF}}]&&[{_spans(sorted(map(ord, several)))}]]"  # most characters are settled by the first range
+    return letters + marks, plain, "\x01".join(f"{a}\x02{b}" for a, b in several.items()), rare
 
 
-def fold_accents(text: Column, compatibility: bool = False) -> Column:
-    """Lower case without accents, on the JVM.
+def fold_accents(text: Column) -> Column:
+    """Lower case, compatibility forms as what they stand for, without accents; all on the JVM.
 
-    With ``compatibility``, texts that hold characters beyond the accented Latin letters (full-width forms, ligatures,
-    Greek accents) go through an Arrow function that decomposes them; all others pass it as nulls.
+    Characters that stand for several (ligatures, Roman numerals, fractions) are rare: only texts that hold one are taken
+    apart for them.
     """
-    letters, plain = _letters()
-    native = F.translate(F.regexp_replace(F.lower(text), r"\p{M}+", ""), letters, plain)
-    if not compatibility:
-        return native
-    odd = text.rlike(r"[^\x{0}-\x{24F}\x{300}-\x{36F}\x{1E00}-\x{1EFF}\x{2010}-\x{2023}\x{2027}\x{2030}-\x{203B}«»]|[ªº²³¹¼½¾µ¨¯´¸\x{A0}\x{132}\x{133}\x{13F}\x{140}\x{149}\x{17F}\x{1C4}-\x{1CC}\x{1F1}-\x{1F3}]")
-    return F.coalesce(_folded_by_table(F.when(odd, text)), native)
+    letters, plain, several, rare = _folding_arguments()
+    low = F.lower(text)
+    table = F.str_to_map(F.lit(several), F.lit("\x01"), F.lit("\x02"))
+    spelled = lambda t: F.array_join(F.transform(F.split(t, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
+    out = F.when(low.rlike(rare), spelled(low)).otherwise(low)
+    return F.translate(out, letters, plain)  # what has no counterpart falls away
 
 
 def light_stem(word: Column) -> Column:
@@ -90,12 +103,11 @@ def light_stem(word: Column) -> Column:
     return F.when((F.length(word) <= 4) | word.rlike(r"[\p{N}_]"), word).otherwise(F.substring(two, 1, 7))
 
 
-def terms(text: Column, stem: bool = True, stopwords: bool = False, compatibility: bool = False) -> Column:
+def terms(text: Column, stem: bool = True, stopwords: bool = False) -> Column:
     """Terms of a text in order, repeated ones too: an array, empty for a null text."""
-    words = F.regexp_extract_all(fold_accents(F.coalesce(text, F.lit("")), compatibility), F.lit(WORD), F.lit(0))
-    if not stopwords:
-        words = F.filter(words, lambda w: ~w.isin(*STOPWORDS))
-    words = F.filter(words, lambda w: w != "_")
+    words = F.regexp_extract_all(fold_accents(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    left_out = ["_", *([] if stopwords else STOPWORDS)]
+    words = F.call_function("filter", words, F.expr("w -> w NOT IN (" + ", ".join(f"'{w}'" for w in left_out) + ")"))
     return F.transform(words, light_stem) if stem else words
 
 

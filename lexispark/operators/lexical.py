@@ -10,34 +10,29 @@ from pyspark.sql.window import Window
 
 from ..functions.text import terms
 from ..storage import small, written
+from .retrieval import B, K1, best_records, idf, postings_of
 
-K1, B = 1.2, 0.75
 
-
-def posting_list(passages: DataFrame, key: str, text: str, compatibility: bool = False) -> DataFrame:
+def posting_list(passages: DataFrame, key: str, text: str) -> DataFrame:
     """key, length and one row per term with its frequency; term is null for a passage without terms."""
-    rows = passages.select(F.col(key).alias("pid"), terms(F.col(text), compatibility=compatibility).alias("terms"))
+    rows = passages.select(F.col(key).alias("pid"), terms(F.col(text)).alias("terms"))
     rows = rows.select("pid", F.size("terms").alias("length"), F.explode_outer("terms").alias("term"))
     return rows.groupBy("pid", "length", "term").agg(F.count("term").alias("tf"))
 
 
-def corpus_size(passages: DataFrame, text: str, compatibility: bool = False) -> DataFrame:
+def corpus_size(passages: DataFrame, text: str) -> DataFrame:
     """One row: n passages and their mean length in terms; passages without terms count."""
-    return passages.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size(terms(F.col(text), compatibility=compatibility))), F.lit(0.0)).alias("mean_length"))
-
-
-def idf(n: Column, df: Column) -> Column:
-    return F.log(1.0 + (n - df + 0.5) / (df + 0.5))
+    return passages.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size(terms(F.col(text)))), F.lit(0.0)).alias("mean_length"))
 
 
-def term_stats(passages: DataFrame, text: str, compatibility: bool = False) -> DataFrame:
+def term_stats(passages: DataFrame, text: str) -> DataFrame:
     """term, df and idf of every term of the corpus.
 
     Terms are made distinct within each passage by the array function, so one partial aggregation per term is all that
     is shuffled.
     """
     size = passages.agg(F.count("*").alias("n"))
-    found = passages.select(F.explode(F.array_distinct(terms(F.col(text), compatibility=compatibility))).alias("term"))
+    found = passages.select(F.explode(F.array_distinct(terms(F.col(text)))).alias("term"))
     counted = found.groupBy("term").agg(F.count("*").alias("df"))
     return counted.crossJoin(F.broadcast(size)).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
 
@@ -51,36 +46,44 @@ class Bm25:
     text: str
     k1: float = K1
     b: float = B
-    compatibility: bool = False
+
+    def _asked(self, queries: DataFrame, query_key: str, query_text: str) -> DataFrame:
+        return queries.select(F.col(query_key).alias("qid"), F.array_sort(F.array_distinct(terms(F.col(query_text)))).alias("terms")).where(F.size("terms") > 0)
+
+    def _docs(self) -> DataFrame:
+        return self.passages.select(F.col(self.key).alias("pid"), terms(F.col(self.text)).alias("terms"))
 
     def scores(self, queries: DataFrame, query_key: str, query_text: str) -> DataFrame:
         """qid, pid, bm25 for every passage that shares a term with the query; repeated query terms count once.
 
-        The terms of the queries are the small side: postings are kept of these only, by a semi join before anything is
-        shuffled on terms, and written once.  Partial sums are added per (query, passage).
+        One row for each such pair: for the best of each query ``top`` needs far fewer.
         """
-        asked = queries.select(F.col(query_key).alias("qid"), F.explode(F.array_distinct(terms(F.col(query_text), compatibility=self.compatibility))).alias("term"))
-        wanted = small(asked.select("term").distinct())
-        rows = self.passages.select(F.col(self.key).alias("pid"), terms(F.col(self.text), compatibility=self.compatibility).alias("terms"))
-        rows = rows.select("pid", "terms", F.size("terms").alias("length"))
-        n, total = rows.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
-        held = rows.select("pid", "length", F.explode("terms").alias("term")).join(wanted, "term", "left_semi")
-        postings = written(held.groupBy("pid", "length", "term").agg(F.count("*").alias("tf")), "postings")
+        asked = self._asked(queries, query_key, query_text).select("qid", F.explode("terms").alias("term"))
+        postings, size = postings_of(self._docs(), asked.select("term"))
         frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
-        weights = frequency.select("term", idf(F.lit(n), F.col("df")).alias("idf"))
+        weights = frequency.crossJoin(F.broadcast(size)).select("term", "mean_length", idf(F.col("n"), F.col("df")).alias("idf"))
         tf = F.col("tf")
-        norm = self.k1 * (1.0 - self.b + self.b * F.col("length") / max(total / max(1, n), 1e-9))
+        norm = self.k1 * (1.0 - self.b + self.b * F.col("length") / F.greatest(F.col("mean_length"), F.lit(1e-9)))
         part = F.col("idf") * tf * (self.k1 + 1.0) / (tf + norm)
         return small(asked).join(postings.join(weights, "term"), "term").groupBy("qid", "pid").agg(F.sum(part).alias("bm25"))
 
     def top(self, queries: DataFrame, query_key: str, query_text: str, k: int) -> DataFrame:
         """The best k passages of each query: qid, rank, pid, bm25; equal scores by passage key.
 
-        Scores are rounded to nine places for the order, so that the order of additions can't change it.
+        Scores are rounded to nine places, so that the order of additions can't change the order of passages.  Queries
+        with the same terms are scored once.
         """
-        order = Window.partitionBy("qid").orderBy(F.desc(F.round("bm25", 9)), "pid")
-        ranked = self.scores(queries, query_key, query_text).withColumn("rank", F.row_number().over(order))
-        return ranked.where(F.col("rank") <= k).select("qid", "rank", "pid", "bm25")
+        return self.top_with_weights(queries, query_key, query_text, k)[0]
+
+    def top_with_weights(self, queries: DataFrame, query_key: str, query_text: str, k: int) -> tuple[DataFrame, DataFrame]:
+        """``top``, and term and idf of the queries' terms that some passage has."""
+        asked = self._asked(queries, query_key, query_text).withColumn("key", F.xxhash64("terms"))
+        sets = asked.groupBy("key").agg(F.lit("").alias("split"), F.first("terms").alias("terms"))
+        docs = self._docs().withColumn("split", F.lit(""))
+        best, weights = best_records(written(sets, "sets"), docs, k, k1=self.k1, b=self.b)
+        order = Window.partitionBy("qid").orderBy("less", "pid")
+        ranked = asked.select("qid", "key").join(best, "key").withColumn("rank", F.row_number().over(order))
+        return ranked.select("qid", "rank", "pid", (-F.col("less")).alias("bm25")), weights.select("term", "idf")
 
 
 def coverage(pairs: DataFrame, query: str, document: str, weights: DataFrame | None = None) -> DataFrame:

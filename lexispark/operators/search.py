@@ -1,15 +1,15 @@
-"""Search: candidates by BM25 (or all), relevance, threshold, removal of repeated neighbours, highlights."""
+"""Search: candidates by BM25 or given ones, relevance, threshold, removal of repeated neighbours, highlights."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import STOPWORDS, WORD, fold_accents, let, light_stem, terms
-from .lexical import Bm25, term_stats
+from .lexical import Bm25
 from .scoring import keyword_score
 
 
@@ -62,6 +62,10 @@ def drop_repeated(ranked: DataFrame, query: str = "qid") -> DataFrame:
     return ranked.join(kept, [query, "doc", "rank"], "left_semi")
 
 
+#: What a request may ask for at most.
+MOST_QUERY_CHARS, MOST_RESULTS = 2000, 50
+
+
 @dataclass
 class SearchSettings:
     pool: int = 30
@@ -69,25 +73,38 @@ class SearchSettings:
     threshold: float = 0.5
     near_misses: int = 3
 
+    def clamped(self) -> SearchSettings:
+        """The settings with a threshold between 0 and 1, and 1 to ``MOST_RESULTS`` results."""
+        return replace(self, threshold=min(1.0, max(0.0, float(self.threshold))), top_k=min(MOST_RESULTS, max(1, int(self.top_k))))
+
 
-def search(queries: DataFrame, query_key: str, query_text: str, found: DataFrame, settings: SearchSettings | None = None, relevance=keyword_score) -> DataFrame:
+def search(queries: DataFrame, query_key: str, query_text: str, found: DataFrame, settings: SearchSettings | None = None, relevance=keyword_score, candidates: DataFrame | None = None) -> DataFrame:
     """Results of each query over passages (as ``passages`` gives them), best first; blank queries give none.
 
-    ``kind`` is match (at least the threshold) or near (at least half of it, the best few, only where matches don't fill
-    top_k).  ``matches_total`` counts all matches left after repeated neighbours are dropped.
+    Candidates are the best ``pool`` passages by BM25, or the rows of ``candidates`` (qid, pid, score), for scorers that
+    find passages without a common term (see ``vectors.at_least``, which goes through all passages); these keep their
+    score, and BM25 only orders equal ones.  ``kind`` is match (at least the threshold) or near (at least half of it, the
+    best few, only where matches don't fill top_k).  ``matches_total`` counts all matches left after repeated neighbours
+    are dropped.  Queries are cut to ``MOST_QUERY_CHARS``; settings out of range are brought into it.
     """
-    s = settings or SearchSettings()
-    asked = queries.select(F.col(query_key).alias("qid"), F.trim(F.col(query_text)).alias("query")).where("query != ''")
-    pool = Bm25(found, "passage_id", "text").top(asked, "qid", "query", s.pool)
+    s = (settings or SearchSettings()).clamped()
+    asked = queries.select(F.col(query_key).alias("qid"), F.substring(F.trim(F.col(query_text)), 1, MOST_QUERY_CHARS).alias("query")).where("query != ''")
+    index = Bm25(found, "passage_id", "text")
+    pool, known = index.top_with_weights(asked, "qid", "query", s.pool)
+    if candidates is not None:
+        scored = index.scores(asked, "qid", "query")
+        pool = candidates.select("qid", "pid", "score").join(scored, ["qid", "pid"], "left").fillna(0.0, ["bm25"]).withColumn("rank", F.lit(0))
     rows = pool.drop("rank").join(found.withColumnRenamed("passage_id", "pid"), "pid").join(asked, "qid")
-    rows = rows.withColumn("score", relevance(F.col("query"), F.col("text"))).where(F.col("score") >= s.threshold * 0.5)
+    if candidates is None:
+        rows = rows.withColumn("score", relevance(F.col("query"), F.col("text")))
+    rows = rows.where(F.col("score") >= s.threshold * 0.5)
     order = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc(F.round("bm25", 9)), "doc", "passage_no")
     shown = drop_repeated(rows.withColumn("rank", F.row_number().over(order)))
     match = F.col("score") >= s.threshold
     side = Window.partitionBy("qid", match).orderBy("rank")
     shown = shown.withColumn("place", F.row_number().over(side)).withColumn("matches_total", F.count_if(match).over(Window.partitionBy("qid")))
     shown = shown.where((match & (F.col("place") <= s.top_k)) | (~match & (F.col("place") <= s.near_misses) & (F.col("matches_total") < s.top_k)))
-    weights = asked.select("qid", F.explode(F.array_distinct(terms(F.col("query")))).alias("term")).join(term_stats(found, "text"), "term")
+    weights = asked.select("qid", F.explode(F.array_distinct(terms(F.col("query")))).alias("term")).join(known, "term")
     weights = weights.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("weights"))
     out = shown.join(weights, "qid", "left").withColumn("_asked", F.array_distinct(terms(F.col("query"))))
     return out.select(

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import written
+
 #: Query vectors of one block: at most about 16 MB of a broadcast of 1024 dimensions.
 BLOCK_QUERIES = 4096
 
@@ -22,32 +24,42 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def _best(block, k: int):
+    """The best ``k`` rows of a task for each query of the block; equal scores by key."""
+
     def run(batches):
         ids, vectors = block.value
-        held: list[tuple] = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
+        score, key = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            if not len(keys):
+            if not len(keys) or not len(ids):
                 continue
-            scores = vectors @ _matrix(batch.column(1)).T
-            for q in range(len(ids)):
-                s = np.concatenate([held[q][0], scores[q]])
-                p = np.concatenate([held[q][1], keys])
-                order = np.lexsort((p, -np.round(s, 12)))[:k]
-                held[q] = s[order], p[order]
-        sizes = [len(h[0]) for h in held]
-        if sum(sizes):
-            yield pa.record_batch({"qid": pa.array(np.repeat(ids, sizes)), "pid": pa.array(np.concatenate([h[1] for h in held])), "cosine": pa.array(np.concatenate([h[0] for h in held]))})
+            score = np.concatenate([score, np.round(vectors @ _matrix(batch.column(1)).T, 12)], 1)
+            key = np.concatenate([key, np.broadcast_to(keys, (len(ids), len(keys)))], 1)
+            if score.shape[1] > k:
+                least = np.partition(score, score.shape[1] - k, 1)[:, [-k]]
+                order = np.lexsort((key, -score), axis=1) if (np.count_nonzero(score >= least, 1) > k).any() else np.argpartition(-score, k - 1, 1)
+                score, key = (np.take_along_axis(x, order[:, :k], 1) for x in (score, key))
+        if score.size:
+            yield pa.record_batch({"qid": pa.array(np.repeat(ids, score.shape[1])), "pid": pa.array(key.ravel()), "cosine": pa.array(score.ravel())})
 
     return run
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int = 10) -> DataFrame:
-    """The k rows with the largest dot product (cosine of unit vectors) for each query row, itself left out.
+def _reaching(block, least: float):
+    def run(batches):
+        ids, vectors = block.value
+        for batch in batches:
+            if not len(batch) or not len(ids):
+                continue
+            score = np.round(vectors @ _matrix(batch.column(1)).T, 12)
+            q, p = np.nonzero(score >= least)
+            yield pa.record_batch({"qid": pa.array(ids[q]), "pid": batch.column(0).take(pa.array(p)), "cosine": pa.array(score[q, p])})
 
-    Queries are sent in blocks of bounded size; each task multiplies a block with its rows and keeps the best k, so
-    k rows per query and task are shuffled and no pair is formed.  Null vectors take no part.
-    """
+    return run
+
+
+def _by_blocks(queries: DataFrame, vectors: DataFrame, key: str, vector: str, search) -> DataFrame:
+    """Union of what ``search(block)`` finds in the rows for each block of queries, one block in memory at a time."""
     spark = vectors.sparkSession
     rows = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("pid"), F.col(vector).alias("v"))
     asked = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("qid"), F.col(vector).alias("v"))
@@ -56,10 +68,31 @@ def nearest(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: in
     for b in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).toArrow()
         block = spark.sparkContext.broadcast((part["qid"].to_numpy(), _matrix(part["v"].combine_chunks())))
-        found = rows.mapInArrow(_best(block, k + 1), "qid bigint, pid bigint, cosine double")
+        found = rows.mapInArrow(search(block), "qid bigint, pid bigint, cosine double")
+        if blocks > 1:
+            found = written(found, "block")
+            block.destroy()
         out = found if out is None else out.unionByName(found)
-    order = Window.partitionBy("qid").orderBy(F.desc(F.round("cosine", 12)), "pid")
-    return out.where("qid != pid").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return out.where("qid != pid")
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int = 10) -> DataFrame:
+    """The k rows with the largest dot product (cosine of unit vectors) for each query row, itself left out.
+
+    Queries are sent in blocks of bounded size; each task multiplies a block with its rows and keeps the best k, so
+    k rows per query and task are shuffled and no pair is formed.  Null vectors take no part.
+    """
+    found = _by_blocks(queries, vectors, key, vector, lambda block: _best(block, k + 1))
+    order = Window.partitionBy("qid").orderBy(F.desc("cosine"), "pid")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def at_least(queries: DataFrame, vectors: DataFrame, key: str, vector: str, least: float) -> DataFrame:
+    """Every row whose dot product with a query row is ``least`` or more, itself left out: qid, pid, cosine.
+
+    All rows are gone through for every query, in blocks as in ``nearest``; only what reaches the bound comes out.
+    """
+    return _by_blocks(queries, vectors, key, vector, lambda block: _reaching(block, least))
 
 
 def missing(texts: DataFrame, text: str, store: DataFrame) -> DataFrame:

@@ -265,7 +265,7 @@ def vector_store_gaps(spark, folder):
 
 @query
 def uploaded_names(spark, folder):
-    """File names made unique in order of row id: the second of a name gets (1), and so on."""
+    """Base names of files made unique in order of row id: the second of a name gets (2), and so on."""
     return unique_names(table(spark, folder, "legal_records"), "source_file", "row_id").select("row_id", "unique_name")
 
 

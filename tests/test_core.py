@@ -1,3 +1,5 @@
+import base64
+import io
 import math
 import random
 import re
@@ -8,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexispark.functions import text as T
-from lexispark.operators import calibration, metrics, training_pairs
+from lexispark.operators import calibration, metrics, retrieval, training_pairs
 from lexispark.operators.lexical import Bm25, coverage, term_stats
 from lexispark.operators.passages import split_passages
 from lexispark.operators.scoring import ambiguous, decide, decision_stats, keyword_score, overlap_share, prune
@@ -27,7 +29,7 @@ def column(spark, values, expression):
 def test_folding_and_stems(spark):
     words = ["Indemnité", "ŒUVRE", "été", "ÀÉÎÕÜ", "été", None, "ﬁn", "ＡＢ"]
     fold = lambda t: t and "".join(c for c in unicodedata.normalize("NFKD", t.lower()) if not unicodedata.combining(c))
-    assert column(spark, words, T.fold_accents(F.col("a"), compatibility=True)) == [fold(w) for w in words]
+    assert column(spark, words, T.fold_accents(F.col("a"))) == [fold(w) for w in words]
     assert column(spark, ["licenciement", "licences", "bail", "baux", "contrat42x", "demande", "xs"], T.light_stem(F.col("a"))) == ["licenci", "licenc", "bail", "baux", "contrat42x", "demand", "xs"]
     assert column(spark, ["Le préavis de démission du salarié, pas de _ 2", "", None], T.terms(F.col("a"))) == [["preavi", "demissi", "salari", "pas", "2"], [], []]
 
@@ -138,6 +140,50 @@ def test_passages():
     assert split_passages("x" * 500, 100, 20)[0].body == "x" * 100 and split_passages("", 100, 20) == []
 
 
+def brute_passages(text, budget, overlap):
+    """The rule, unit by unit: fill up to the budget, then go on with the last units that fit into the overlap."""
+    out, lines, k = [], text.splitlines(), 0
+    while k < len(lines):
+        first = k
+        while k < len(lines) and lines[k].strip():
+            k += 1
+        block = "\n".join(lines[first:k]).strip()
+        k += k == first
+        if not re.search(r"\w", block):
+            continue
+        if len(block) <= budget:
+            out.append((block, first + 1, first + 1 + "\n".join(lines[first : first + block.count("\n") + 1]).count("\n"), 0))
+            continue
+        parts = []
+        for n, line in enumerate(block.split("\n"), first + 1):
+            for unit in re.split(r"(?<=[.?!])\s", line):
+                unit = unit.strip()
+                while unit:
+                    space = max((i for i, c in enumerate(unit[:budget]) if c == " " and i > budget // 2), default=budget)
+                    piece, unit = (unit, "") if len(unit) <= budget else (unit[:space].strip(), unit[space:].strip())
+                    parts.append((n, piece))
+        size = lambda ps: sum(len(p) + 1 for _, p in ps)
+        text_of = lambda ps: "".join(("" if not i else " " if ps[i - 1][0] == n else "\n") + p for i, (n, p) in enumerate(ps))
+        run, shared = [], 0
+        for part in parts:
+            if run and size(run) + len(part[1]) > budget:
+                out.append((text_of(run), run[0][0], run[-1][0], shared))
+                run = next(run[i:] for i in range(1, len(run) + 1) if size(run[i:]) - 1 <= overlap)
+                shared = len(text_of(run))
+            run = [*run, part]
+        out.append((text_of(run), run[0][0], run[-1][0], shared))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_passages_against_brute_force(seed):
+    rng = random.Random(seed)
+    for _ in range(1500):
+        text = "".join(rng.choice(["a", "bb", " ", "\n", ". ", "! ", "\n\n", "x" * 30, ".", "?\n", "mot "]) for _ in range(rng.randint(0, 80)))
+        budget, overlap = rng.choice([50, 60]), rng.choice([0, 10, 20])
+        assert [(p.body, p.first, p.last, p.shared) for p in split_passages(text, budget, overlap)] == brute_passages(text, budget, overlap)
+
+
 def brute_shown(ranked):
     shown, by = set(), {(r["doc"], r["passage_no"]): r for r in ranked}
     for r in sorted(ranked, key=lambda r: r["rank"]):
@@ -272,16 +318,33 @@ def test_folder_scan(spark, tmp_path):
     assert documents.count() == 0 and skipped.first().reason == "too many files"
 
 
+def test_uploads_and_their_names(spark):
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    word = io.BytesIO()
+    with zipfile.ZipFile(word, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:p><w:t> Un </w:t></w:p><w:p/><w:p><w:t>Deux</w:t></w:p></w:document>')
+    b64 = lambda x: base64.b64encode(x).decode()
+    rows = [(1, "a/n.txt", None, "un"), (2, "n.txt", b64(b"deux"), None), (3, "b/n.txt", None, " "), (4, "n.txt", None, "x"), (5, "w.docx", b64(word.getvalue()), None), (6, "w.docx", b64(b"no zip"), None), (7, "t.exe", None, "x"), (8, "x.md", "??", None), (9, None, None, "sans nom"), (10, "a.b.TXT", None, "fin"), (11, "dir/a.b.TXT/", None, "fin"), (12, "", None, "y")]
+    frame = spark.createDataFrame(rows, "position int, name string, data string, text string")
+    names = {r.position: r.unique_name for r in files.unique_names(frame, "name", "position").collect()}
+    assert names == {1: "n.txt", 2: "n (2).txt", 3: "n (3).txt", 4: "n (4).txt", 5: "w.docx", 6: "w (2).docx", 7: "t.exe", 8: "x.md", 9: "document.txt", 10: "a.b.TXT", 11: "a.b (2).TXT", 12: "document (2).txt"}
+    assert names == {r.position: r.unique_name for r in files.unique_names(frame, "name", "position", bucket_rows=2).collect()}
+    documents, skipped = files.uploads(frame)
+    assert {r.unique_name: r.text for r in documents.collect()} == {"n.txt": "un", "n (2).txt": "deux", "n (4).txt": "x", "w.docx": "Un\n\nDeux", "document.txt": "sans nom", "a.b.TXT": "fin", "a.b (2).TXT": "fin", "document (2).txt": "y"}
+    assert {r.unique_name: r.reason for r in skipped.collect()} == {"n (3).txt": "no readable text", "w (2).docx": "unreadable: BadZipFile", "t.exe": "type", "x.md": "unreadable: Error"}
+    assert files.unique_names(frame.limit(0), "name", "position").count() == 0
+
+
 def test_other_sources(spark, tmp_path):
-    ups = spark.createDataFrame([(1, "a/n.txt", None, "un"), (2, "n.txt", "ZGV1eA==", None), (3, "n.txt", None, " "), (4, "a/n.txt", None, "x")], "position int, name string, data string, text string")
-    assert sorted((r.unique_name, r.text) for r in files.uploads(ups).collect()) == [("n (1).txt", "x"), ("n.txt", "deux"), ("n.txt", "un")]
     (tmp_path / "r.tsv").write_text("Cour\tTitre du jugement\t" + "mot " * 30 + "\nx\ty\nCour\\tAutre titre\\t" + "mot " * 30 + "\n")
     assert {r.title for r in files.read_tsv(spark, str(tmp_path / "r.tsv")).collect()} == {"Titre du jugement", "Autre titre"}
     files.write_jsonl(spark.createDataFrame([("1", "q", "d", 1)], "id string, query string, doc string, label int"), str(tmp_path / "cases"))
     case = files.read_cases(spark, str(tmp_path / "cases")).first()
-    assert (case.label, case.category) == (1, "uncategorized")
-    (tmp_path / "bad.jsonl").write_text('{"query": "q", "doc": "d", "label": 3}\n')
-    with pytest.raises(Exception, match="neither"):
+    assert (case.id, case.label, case.category) == ("1", 1, "uncategorized")
+    (tmp_path / "suite.jsonl").write_text('{"query": "q", "doc": "d", "label": 1}\n\n{"id": "x", "query": "r", "doc": "d", "label": 0, "category": "trap"}\n{"query": "s", "doc": "d", "label": 0}')
+    assert [(r.id, r.query, r.category) for r in files.read_cases(spark, str(tmp_path / "suite.jsonl")).orderBy("query").collect()] == [("1", "q", "uncategorized"), ("x", "r", "trap"), ("4", "s", "uncategorized")]
+    (tmp_path / "bad.jsonl").write_text('{"query": "q", "doc": "d", "label": 1}\n{"query": "q", "doc": "d", "label": 3}\n')
+    with pytest.raises(Exception, match="bad.jsonl:2"):
         files.read_cases(spark, str(tmp_path / "bad.jsonl")).collect()
 
 
