@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,13 +22,19 @@ def _ratio(a: Column, b: Column) -> Column:
 def roc_auc(rows: DataFrame, by: list[str], label: str = "label", score: str = "score") -> DataFrame:
     """Chance that a positive outscores a negative, ties one half; null where a group has one class only.
 
-    Rows are first counted per distinct score, so the window runs over distinct scores and never over all rows.
+    Rows are first counted per distinct score.  How many negatives lie below a score is summed up in two steps: scores
+    fall into ranges (which grow with the score's size), whose sums are added up first, so that no task orders all the
+    distinct scores of a group.  Rows without a label or score are left out.
     """
-    counts = rows.groupBy(*by, F.col(score).alias("_s")).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = counts.withColumn("_w", F.col("_p") * (below + F.col("_n") / 2))
+    s = F.col(score)
+    place = F.floor(F.signum(s) * F.log2(1 + F.abs(s)) * 1024).cast("bigint").alias("_r")
+    counts = rows.where(s.isNotNull() & F.col(label).isNotNull()).groupBy(*by, place, s.alias("_s")).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_n"))
+    before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    inside = counts.withColumn("_below", F.coalesce(F.sum("_n").over(before(*by, "_r", "_s")), F.lit(0)))
+    ranges = inside.groupBy(*by, "_r").agg(F.sum(F.col("_p") * (F.col("_below") + F.col("_n") / 2)).alias("_won"), F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
+    won = F.col("_won") + F.col("_p") * F.coalesce(F.sum("_n").over(before(*by, "_r")), F.lit(0))
     pairs = F.sum("_p") * F.sum("_n")
-    return won.groupBy(*by).agg(F.when(pairs > 0, F.sum("_w") / pairs).alias("auc"))
+    return ranges.withColumn("_won", won).groupBy(*by).agg(F.when(pairs > 0, F.sum("_won") / pairs).alias("auc"))
 
 
 def query_auc(rows: DataFrame, by: list[str], query: str, label: str = "label", score: str = "score") -> DataFrame:
@@ -97,10 +105,50 @@ def bootstrap_accuracy(rows: DataFrame, by: list[str], threshold: float = 0.5, r
     return counts.select(*by, (F.col("_right") / F.col("_n")).alias("accuracy"), interval("_right", "_n").alias("_i")).select(*by, "accuracy", "_i.low", "_i.high")
 
 
-def report(scored: DataFrame, by: list[str], query: str, threshold: float = 0.5) -> DataFrame:
-    """All metrics of each group (say, suite and scorer) in one row."""
-    parts = [roc_auc(scored, by), query_auc(scored, by, query), calibration_error(scored, by)]
-    out = binary_metrics(scored, by, threshold)
-    for part in parts:
+def bootstrap_auc(rows: DataFrame, by: list[str], resamples: int = 1000, seed: int = 0, alpha: float = 0.05, places: int = 4, label: str = "label", score: str = "score") -> DataFrame:
+    """AUC of each group and its percentile interval over resamples with replacement: by, auc, low, high.
+
+    A resample of n rows is a multinomial draw over the group's counts of (score, label), so rows are aggregated once and
+    never drawn one by one.  Scores are rounded to ``places``, which bounds what a group's task holds (20,002 counts for
+    scores from 0 to 1).  Resamples of one class are left out; a group that has no other gives nulls.
+    """
+    counts = rows.where(F.col(score).isNotNull() & F.col(label).isin(0, 1)).groupBy(*by, F.round(score, places).alias("_s")).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_n"))
+    kinds = ", ".join(f"`{k}` {counts.schema[k].dataType.simpleString()}" for k in by)
+
+    def intervals(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("_s")
+        cells = np.concatenate([group["_p"].to_numpy(), group["_n"].to_numpy()])
+        half, rng, values = len(group), np.random.default_rng(seed), []
+
+        def auc(drawn):
+            p, n = drawn[:half], drawn[half:]
+            return (p * (np.cumsum(n) - n / 2)).sum() / (p.sum() * n.sum()) if p.any() and n.any() else None
+
+        for _ in range(resamples):
+            values.append(auc(rng.multinomial(cells.sum(), cells / cells.sum())))
+        values = sorted(v for v in values if v is not None)
+        last = len(values) - 1
+        ends = (values[math.floor(alpha / 2 * last)], values[math.ceil((1 - alpha / 2) * last)]) if values else (None, None)
+        return pd.DataFrame([(*group.iloc[0][by], auc(cells), *ends)], columns=[*by, "auc", "low", "high"])
+
+    return counts.groupBy(*by).applyInPandas(intervals, f"{kinds}, auc double, low double, high double")
+
+
+def report(scored: DataFrame, by: list[str], query: str, threshold: float | None = 0.5, resamples: int = 0) -> DataFrame:
+    """All metrics of each group (say, suite and scorer) in one row.
+
+    Without a ``threshold`` only those of the ranking (for scores that aren't probabilities); with ``resamples`` the
+    intervals of the AUC and, with a threshold, of the accuracy as well.
+    """
+    parts = [scored.groupBy(*by).agg(F.count("*").alias("n")), roc_auc(scored, by), query_auc(scored, by, query)]
+    if threshold is not None:
+        parts[0] = binary_metrics(scored, by, threshold)
+        parts.append(calibration_error(scored, by))
+    if resamples:
+        parts.append(bootstrap_auc(scored, by, resamples).withColumnsRenamed({"low": "auc_low", "high": "auc_high"}).drop("auc"))
+        if threshold is not None:
+            parts.append(bootstrap_accuracy(scored, by, threshold, resamples).withColumnsRenamed({"low": "accuracy_low", "high": "accuracy_high"}).drop("accuracy"))
+    out = parts[0]
+    for part in parts[1:]:
         out = out.join(part, by, "left")
     return out

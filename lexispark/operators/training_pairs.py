@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -98,3 +99,32 @@ def unlabelled(rows: DataFrame, done: DataFrame, key: str = "pair_id", most: int
     """Rows that a labelling run still has to do: those without a result, the first ``most`` by key."""
     left = rows.join(done.select(key), key, "left_anti")
     return left if most is None else left.orderBy(key).limit(most)
+
+
+def label_pairs(rows: DataFrame, done: DataFrame, scorer, most: int | None = None, key: str = "pair_id") -> DataFrame:
+    """The rows without a result in ``done``, each with ``teacher``: what ``scorer(query, contents)`` says, to four places.
+
+    Pairs of one query in a batch are scored in one call.  A call that fails leaves its pairs out, so that a later run
+    takes them again; append the result to the store that ``done`` is read from.
+    """
+    left = unlabelled(rows.drop("teacher"), done, key, most)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in left.schema.fields)
+
+    def run(batches):
+        for batch in batches:
+            queries, contents = batch.column("query").to_pylist(), batch.column("content").to_pylist()
+            groups: dict = {}
+            for i, query in enumerate(queries):
+                groups.setdefault(query, []).append(i)
+            kept, found = [], []
+            for query, places in groups.items():
+                try:
+                    scores = [round(float(x), 4) for x in scorer(query, [contents[i] for i in places])]
+                except Exception:  # noqa: S112 - tried again by the next run
+                    continue
+                kept += places
+                found += scores
+            some = batch.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*some.columns, pa.array(found, pa.float64())], names=[*some.schema.names, "teacher"])
+
+    return left.repartition("query").mapInArrow(run, f"{schema}, teacher double")

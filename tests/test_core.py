@@ -16,7 +16,8 @@ from lexispark.operators.passages import split_passages
 from lexispark.operators.scoring import ambiguous, decide, decision_stats, keyword_score, overlap_share, prune
 from lexispark.operators.search import best_sentence, drop_repeated, matching_words, search
 from lexispark.operators.training_pairs import build_pairs, clean_records, hard_negatives, random_negatives, shared_between_splits, unlabelled
-from lexispark.operators.vectors import embed, missing, nearest, pool, retained
+from lexispark.operators import vectors as vectors_module
+from lexispark.operators.vectors import at_least, embed, missing, nearest, pool, retained
 from lexispark.plans.evaluation import as_markdown, suite_report
 from lexispark.sources import files
 
@@ -99,6 +100,54 @@ def test_auc(spark, labels, scores, expected):
     assert metrics.roc_auc(rows, ["g"]).first().auc == expected
 
 
+def test_auc_of_many_scores(spark):
+    rng = random.Random(9)
+    rows = [(k % 2, rng.randrange(2), rng.choice([rng.gauss(0, 30), rng.random(), 0.0, -0.0, rng.randrange(-3, 3)]) * 1.0) for k in range(600)] + [(0, 1, None), (0, None, 1.0)]
+    got = {r.g: r.auc for r in metrics.roc_auc(spark.createDataFrame(rows, "g int, label int, score double"), ["g"]).collect()}
+    for g in (0, 1):
+        side = [[s for h, y, s in rows if h == g and y == label and s is not None] for label in (1, 0)]
+        won = sum((a > b) + (a == b) / 2 for a in side[0] for b in side[1])
+        assert abs(got[g] - won / (len(side[0]) * len(side[1]))) < 1e-9
+
+
+def test_bootstrap_and_report(spark):
+    rng = random.Random(4)
+    rows = [("g", f"q{k % 40}", y := rng.randrange(2), min(1.0, max(0.0, rng.gauss(0.4 + 0.2 * y, 0.2)))) for k in range(2000)]
+    frame = spark.createDataFrame(rows, "g string, q string, label int, score double")
+    r = metrics.report(frame, ["g"], "q", resamples=300).first()
+    assert r.auc_low < r.auc < r.auc_high < r.auc_low + 0.06 and r.accuracy_low < r.accuracy < r.accuracy_high
+    ranking = metrics.report(frame.withColumn("score", F.col("score") * 7), ["g"], "q", None)
+    assert ranking.columns == ["g", "n", "auc", "query_auc"] and abs(ranking.first().auc - r.auc) < 1e-9
+    one = metrics.bootstrap_auc(frame.where("label = 1"), ["g"], 5).first()
+    assert (one.auc, one.low, one.high) == (None, None, None) and metrics.bootstrap_auc(frame.limit(0), ["g"]).count() == 0
+
+
+def test_labelling_run(spark):
+    rows = spark.createDataFrame([("p1", "q", "c", None), ("p2", "q", "cc", 0.5), ("p3", "bad", "c", None), ("p4", None, None, None)], "pair_id string, query string, content string, teacher double")
+
+    def scorer(query, contents):
+        if query == "bad":
+            raise RuntimeError
+        return [len(c or "") / 3 for c in contents]
+
+    found = training_pairs.label_pairs(rows, rows.where("teacher is not null"), scorer)
+    assert {r.pair_id: r.teacher for r in found.collect()} == {"p1": 0.3333, "p4": 0.0}
+    assert training_pairs.label_pairs(rows, found, scorer, most=1).count() == 1
+
+
+def test_search_over_given_candidates(spark):
+    from lexispark.operators.passages import passages
+    from lexispark.operators.search import SearchSettings
+
+    found = passages(spark.createDataFrame([(1, "Un bail."), (2, "Une vente."), (3, "Un prêt.")], "id int, text string"), "id", F.col("text"))
+    queries = spark.createDataFrame([("a", "location " * 400)], "qid string, query string")
+    given = spark.createDataFrame([("a", "1#0", 0.9), ("a", "2#0", 0.3), ("a", "3#0", 0.1)], "qid string, pid string, score double")
+    rows = search(queries, "qid", "query", found, SearchSettings(top_k=900), candidates=given).collect()
+    assert {(r.passage_id, r.kind) for r in rows} == {("1#0", "match"), ("2#0", "near")}
+    s = SearchSettings(threshold=7, top_k=900).clamped()
+    assert (s.threshold, s.top_k) == (1.0, 50) and SearchSettings(threshold=-1, top_k=0).clamped().top_k == 1
+
+
 def test_metrics(spark):
     rows = spark.createDataFrame([("a", "c", 1, 0.9), ("a", "trap", 1, 0.2), ("b", "trap", 0, 0.6), ("b", "c", 0, 0.1)], "q string, category string, label int, score double").withColumn("g", F.lit(1))
     m = metrics.binary_metrics(rows, ["g"]).first()
@@ -281,7 +330,7 @@ def test_every_record_gets_a_random_negative(spark):
     assert all(by[r.own][1] == by[r.doc_id][1] and by[r.own][2] != by[r.doc_id][2] for r in found) and len({(r.own, r.doc_id) for r in found}) == len(found)
 
 
-def test_vectors(spark):
+def test_vectors(spark, monkeypatch):
     import numpy as np
 
     rng = np.random.default_rng(0)
@@ -292,6 +341,13 @@ def test_vectors(spark):
         got.setdefault(r.qid, []).append(r.pid)
     s = vectors.astype(np.float64) @ vectors.astype(np.float64).T
     assert got == {q: [int(p) for p in np.argsort(-s[q]) if p != q][:3] for q in range(5)}
+    far = {(r.qid, r.pid) for r in at_least(frame.where("id < 5"), frame, "id", "v", 2.0).collect()}
+    assert far == {(q, p) for q in range(5) for p in range(50) if p != q and s[q, p] >= 2.0} and far
+    monkeypatch.setattr(vectors_module, "BLOCK_QUERIES", 2)  # in several blocks, ties by id
+    same = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(40)], "id long, v array<float>")
+    got = nearest(same.where("id < 5"), same, "id", "v", 3).orderBy("qid", "rank").collect()
+    assert [r.pid for r in got if r.qid == 1] == [0, 2, 3] and len(got) == 15
+    assert nearest(same.limit(0), same, "id", "v").count() == 0
     texts = spark.createDataFrame([("a",), ("bb",), ("a",), (None,)], "t string")
     store = embed(texts, "t", lambda xs: [[float(len(x))] for x in xs], spark.createDataFrame([], "text_key string, vector array<float>, created timestamp"))
     assert sorted(r.vector[0] for r in store.collect()) == [1.0, 2.0]
