@@ -416,6 +416,21 @@ def test_stream_adds_each_document_once(spark, tmp_path):
     assert sorted(r.doc for r in spark.read.parquet(str(tmp_path / "table")).collect()) == [1, 2, 3]
 
 
+def test_written_tables_can_be_discarded(spark):
+    from pathlib import Path
+
+    from lexispark import storage
+
+    table, n = storage.written_with_count(spark.range(7), "test")
+    other = storage.written(spark.range(3), "test")
+    paths = [Path(t._lexispark_path.removeprefix("file:")) for t in (table, other)]
+    assert n == table.count() == 7 and all(p.exists() for p in paths)
+    storage.discard(table)
+    assert [p.exists() for p in paths] == [False, True]
+    storage.clear(spark)
+    assert not paths[1].exists() and storage.written_with_count(spark.range(0), "test")[1] == 0
+
+
 def test_suite_report(spark):
     cases = spark.createDataFrame([("1", "dev", "direct", "préavis de démission", "Le préavis de démission dure un mois", 1), ("2", "dev", "trap", "préavis de démission", "La recette du gâteau", 0)], "id string, suite string, category string, query string, doc string, label int")
     rows = {r.scorer: r for r in suite_report(cases).collect()}
