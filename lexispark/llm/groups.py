@@ -3,7 +3,8 @@
 Vertices are record ids: a key value (say, a court) is stood for by the smallest id that has it, so no value is hashed
 and a value that a third of all records has is one vertex.  Each round every vertex throws a coin that depends on its
 id and the round only; each tail with a neighbour that shows heads is merged into the smallest of these.  Rounds are
-SQL joins over the edges that are left, written to the shared folder; about a quarter of the vertices vanish in each.
+SQL joins over the edges that are left, written to the shared folder (one job a round, which counts them as well) and
+deleted once the labels are unwound; about a quarter of the vertices vanish in each.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..storage import written
+from ..storage import discard, written, written_with_count
 
 
 def tie_key(value: Column) -> Column:
@@ -29,28 +30,32 @@ def contract(edges: DataFrame) -> DataFrame:
     ``edges`` has BIGINT columns u and v in any order; loops, repeated edges and null ends are ignored.
     """
     left = edges.where("u != v").select("u", "v")
-    left = written(left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
+    left, n = written_with_count(left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
+    rounds: list[DataFrame] = []
     moves: list[DataFrame] = []
-    while not left.isEmpty():
+    while n:
         heads = F.pmod(F.xxhash64(F.col("v"), F.lit(len(moves))), F.lit(2)) == 1
         tails = F.pmod(F.xxhash64(F.col("u"), F.lit(len(moves))), F.lit(2)) == 0
-        move = written(left.where(tails & heads).groupBy("u").agg(F.min("v").alias("to")), "moves")
+        move = left.where(tails & heads).groupBy("u").agg(F.min("v").alias("to"))
+        rounds.append(left)
         moves.append(move.select(F.col("u").alias("vertex"), "to"))
         for end in "uv":
             now = move.select(F.col("u").alias(end), F.col("to").alias(f"{end}_to"))
             left = left.join(now, end, "left").withColumn(end, F.coalesce(f"{end}_to", end)).drop(f"{end}_to")
-        left = written(left.where("u != v").distinct(), "edges")
+        left, n = written_with_count(left.where("u != v").distinct(), "edges")
+    discard(left)
     if not moves:
         return edges.select(F.col("u").alias("vertex"), F.col("v").alias("root")).limit(0)
     roots = None
     for k in range(len(moves) - 1, -1, -1):  # unwind: what a vertex was merged into may have been merged later
         if roots is None:
             roots = moves[k].select("vertex", F.col("to").alias("root"))
-            continue
-        onward = roots.select(F.col("vertex").alias("to"), "root")
-        roots = moves[k].join(onward, "to", "left").select("vertex", F.coalesce("root", "to").alias("root")).unionByName(roots)
+        else:
+            onward = roots.select(F.col("vertex").alias("to"), "root")
+            roots = moves[k].join(onward, "to", "left").select("vertex", F.coalesce("root", "to").alias("root")).unionByName(roots)
         if k % 4 == 0:
             roots = written(roots, "roots")
+    discard(*rounds)
     # every surviving vertex is a root: it is never moved, so it has no row yet
     return roots.unionByName(roots.select(F.col("root").alias("vertex"), "root").distinct())
 

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import written
 from .words import _powers, chunks, mix, split_words, word_text
 
 #: Characters of the cases of one block, as stored; a larger query set is searched in several blocks.
@@ -280,5 +281,8 @@ def leaks(records: DataFrame, id_column: str, text: Column, cases: DataFrame, ca
         block = cases.where(F.pmod(F.xxhash64("case"), F.lit(blocks)) == k).collect()
         shared = spark.sparkContext.broadcast((passages_of([tuple(r) for r in block], run), edits))
         part = rows.mapInArrow(_search(shared, kind), f"id {kind}, case_id string, exact boolean, score int, kind string, start int, end int")
+        if blocks > 1:  # one block in memory at a time
+            part = written(part, "leaks")
+            shared.destroy()
         out = part if out is None else out.unionByName(part)
     return out
