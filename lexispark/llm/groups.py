@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..storage import discard, written, written_with_count
+from ..storage import discard, small, written, written_with_count
 
 
 def tie_key(value: Column) -> Column:
@@ -96,34 +96,46 @@ def tied_groups(records: DataFrame, id_column: str, keys: list[Column]) -> Group
     return Groups(based.join(whole, "root").select("id", "group", F.coalesce("values", F.lit(0)).alias("values"), "size"))
 
 
+def deal(weights: list[tuple[int, int]], shares: list[float]) -> list[list[int]]:
+    """How many groups of each (weight, number), heaviest first, go to each split, by what its cumulative weight lacks.
+
+    The groups of one weight go to the splits in proportion to what these lack, and the few that are left over to those
+    that then lack most.  Light groups come last and even out what heavy ones left uneven.
+    """
+    lack = [s / sum(shares) * sum(w * n for w, n in weights) for s in shares]
+    out = []
+    for w, n in weights:
+        total = sum(max(0.0, x) for x in lack)
+        got = [int(n * max(0.0, x) / total) if total else 0 for x in lack]
+        lack = [x - w * k for x, k in zip(lack, got, strict=True)]
+        for _ in range(n - sum(got)):
+            i = max(range(len(lack)), key=lack.__getitem__)
+            got[i] += 1
+            lack[i] -= w
+        out.append(got)
+    return out
+
+
 def share_splits(groups: DataFrame, group: str, weight: str, targets: list[tuple[str, float]], buckets: int = 1024) -> DataFrame:
-    """A split for every group, by its place in the cumulative weight, heaviest groups first: (group, weight, split).
+    """A split for every group, by cumulative weight, heaviest groups first: (group, weight, split).
 
-    Shares are scaled to sum 1; splits take their part in the order given.  A group goes where its middle lies, so a
-    split misses its share by no more than half a group at each end, and those at the ends are light ones.  Places are
-    summed up in two steps (weights and hash buckets first), so nothing is ordered in one task but the few distinct
-    weights, which are fewer than the square root of twice the total weight; ``buckets`` should grow with the groups.
+    Shares are scaled to sum 1.  How many groups of each weight go to which split is worked out from the numbers of groups
+    of each weight (see ``deal``): different weights are fewer than the square root of twice the total weight, groups
+    themselves are never collected.  Which groups these are follows from their number among those of their weight,
+    counted in two steps (hash buckets first), so nothing is ordered in one task; ``buckets`` should grow with the groups.
     """
-    total = sum(s for _, s in targets)
-    ends, at = [], 0.0
-    for name, share in targets:
-        at += share / total
-        ends.append((name, at))
+    spark = groups.sparkSession
     rows = groups.select(F.col(group).alias("group"), F.col(weight).cast("bigint").alias("weight")).withColumn("bucket", F.pmod(F.xxhash64("group"), F.lit(buckets)))
-    counts = rows.groupBy("weight", "bucket").agg(F.count("*").alias("n"))
-    by_weight = counts.groupBy("weight").agg(F.sum("n").alias("n"))
-    heavy_first = Window.orderBy(F.desc("weight")).rowsBetween(Window.unboundedPreceding, -1)
-    before = by_weight.select("weight", F.coalesce(F.sum(F.col("n") * F.col("weight")).over(heavy_first), F.lit(0)).alias("before"))
+    counts = written(rows.groupBy("weight", "bucket").agg(F.count("*").alias("n")), "weights")
+    weights = [tuple(r) for r in counts.groupBy("weight").agg(F.sum("n").alias("n")).orderBy(F.desc("weight")).collect()]
+    ends = [(w, [sum(got[: k + 1]) for k in range(len(got))]) for (w, _), got in zip(weights, deal(weights, [s for _, s in targets]), strict=True)]
+    planned = spark.createDataFrame(ends, "weight bigint, ends array<bigint>")
     inside = Window.partitionBy("weight").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("weight", "bucket", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("offset")).join(before, "weight")
-    everything = by_weight.agg(F.sum(F.col("n") * F.col("weight")).alias("all"))
-    number = F.row_number().over(Window.partitionBy("weight", "bucket").orderBy("group")) - 1
-    placed = rows.withColumn("number", number).join(offsets, ["weight", "bucket"]).crossJoin(F.broadcast(everything))
-    middle = (F.col("before") + (F.col("offset") + F.col("number") + 0.5) * F.col("weight")) / F.col("all")
-    split = F.lit(ends[-1][0])
-    for name, end in reversed(ends[:-1]):
-        split = F.when(middle < end, F.lit(name)).otherwise(split)
-    return placed.select("group", "weight", split.alias("split"))
+    offsets = counts.select("weight", "bucket", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("offset")).join(small(planned), "weight")
+    number = F.col("offset") + F.row_number().over(Window.partitionBy("weight", "bucket").orderBy("group"))
+    placed = rows.join(offsets, ["weight", "bucket"]).withColumn("number", number)
+    names = F.array(*[F.lit(n) for n, _ in targets])
+    return placed.select("group", "weight", F.element_at(names, F.size(F.filter("ends", lambda e: e < F.col("number"))) + 1).alias("split"))
 
 
 def grouped_splits(records: DataFrame, id_column: str, keys: list[Column], targets: list[tuple[str, float]]) -> DataFrame:

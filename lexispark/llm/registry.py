@@ -62,6 +62,19 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces(table(spark, folder, "legal_records"), "row_id", F.col("content")).withColumnRenamed("id", "row_id")
 
 
+@query
+def p1_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """For every record, what any right cutting keeps: the new parts of the pieces, in order, are the text again; no piece
+    or overlap is too long; and whether a cut had to be forced."""
+    records = table(spark, folder, "legal_records").select("row_id", "content").where("content is not null")
+    found = pieces(records, "row_id", F.col("content"))
+    fresh = F.struct("piece_no", F.expr("substring(text, overlap + 1)").alias("fresh"))
+    within = (F.length("text") <= 500) & (F.col("overlap") <= 100) & (F.length("text") == F.col("end") - F.col("start"))
+    again = found.groupBy("id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(fresh)), lambda x: x["fresh"]), "")).alias("again"), F.min(within).alias("within"), F.max(F.col("n_forced") > 0).alias("forced"))
+    rows = records.select("row_id", F.length("content").alias("n_chars"), F.md5("content").alias("stored")).join(again.withColumnRenamed("id", "row_id"), "row_id")
+    return rows.select("row_id", "n_chars", (F.col("again") == F.col("stored")).alias("whole"), "within", "forced")
+
+
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
     records, cases = table(spark, folder, "legal_records"), table(spark, folder, "eval_cases")
     return leaks(records, "row_id", F.col("content"), cases, F.col("id"), F.col("doc"), F.col("query"))
@@ -99,6 +112,20 @@ def p5_splits(spark: SparkSession, folder: str) -> DataFrame:
     return grouped_splits(table(spark, folder, "legal_records"), "row_id", _keys(), targets).withColumnRenamed("id", "row_id")
 
 
+@query
+def p5_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """For every split, what any right split keeps: its share within a thousandth, and no court or document in two."""
+    rows = table(spark, folder, "legal_records").select("row_id", *[tie_key(k).alias(n) for k, n in zip(_keys(), ("court", "document"), strict=True)])
+    placed = written(rows.join(p5_splits(spark, folder), "row_id").select("row_id", "court", "document", "split"), "placed")
+    counts = placed.groupBy("split").agg(F.count("*").alias("n"))
+    out = table(spark, folder, "split_targets").select(F.col("split_name").alias("split"), "share").join(counts, "split", "left").crossJoin(F.broadcast(placed.agg(F.count("*").alias("all_records"))))
+    for name in ("court", "document"):
+        torn = placed.where(F.col(name).isNotNull()).groupBy(name).agg((F.min("split") != F.max("split")).alias("torn"))
+        out = out.crossJoin(F.broadcast(torn.agg(F.count_if("torn").alias(f"torn_{name}s"))))
+    near = F.abs(F.coalesce("n", F.lit(0)) / F.col("all_records") - F.col("share")) < 0.001
+    return out.select("split", "share", near.alias("near"), "torn_courts", "torn_documents", "all_records")
+
+
 @query
 def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
     """Every compared record with its exact-copy class, its group of near-duplicates and its class's number of links."""
@@ -156,6 +183,14 @@ def p8_texts(spark: SparkSession, folder: str) -> DataFrame:
     return forms.select(F.col("id").alias("doc_id"), F.col("canonical").alias("text"), (F.col("text") != F.col("canonical")).alias("changed"))
 
 
+@query
+def p8_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """For every document that is neither null nor empty, the first document whose consistent form is the same."""
+    forms = canonical_texts(table(spark, folder, "documents"), "doc_id", F.col("text")).where("text != ''")
+    keyed = written(forms.select(F.col("id").alias("doc_id"), F.md5("canonical").alias("form")), "forms")
+    return keyed.join(keyed.groupBy("form").agg(F.min("doc_id").alias("class_doc")), "form").select("doc_id", "class_doc")
+
+
 def _packed(spark: SparkSession, folder: str) -> DataFrame:
     counted = token_counts(table(spark, folder, "documents"), {"id": F.col("doc_id")}, F.col("text"), VOCABULARY)
     profiles = limited(table(spark, folder, "pack_limits").select("profile", "capacity_tokens").orderBy("capacity_tokens", "profile"), 100, "profiles")

@@ -324,7 +324,15 @@ def test_shares_are_met(spark):
     rows = spark.createDataFrame([(k, 300 if k == 0 else 1 + k % 5) for k in range(2000)], "g long, w long")
     got = {r.split: r.w for r in groups.share_splits(rows, "g", "w", [("train", 0.8), ("val", 0.1), ("test", 0.1)]).groupBy("split").agg(F.sum("weight").alias("w")).collect()}
     total = sum(got.values())
-    assert abs(got["train"] / total - 0.8) < 0.001 and abs(got["val"] / total - 0.1) < 0.001
+    assert abs(got["train"] / total - 0.8) < 0.0005 and abs(got["val"] / total - 0.1) < 0.0005
+    rng = random.Random(2)
+    for _ in range(50):
+        weights = sorted({rng.randrange(2, 400): rng.randrange(1, 30) for _ in range(rng.randrange(30))}.items(), reverse=True) + [(1, 5000)]
+        dealt = groups.deal(weights, [0.8, 0.1, 0.1])
+        assert all(sum(g) == n for (_, n), g in zip(weights, dealt, strict=True))
+        held = [sum(w * g[i] for (w, _), g in zip(weights, dealt, strict=True)) for i in range(3)]
+        assert all(abs(h - s * sum(held)) <= 2 for h, s in zip(held, (0.8, 0.1, 0.1), strict=True))
+    assert groups.deal([(7, 1)], [1.0, 3.0]) == [[0, 1]] and groups.deal([], [1.0]) == []
 
 
 # 6. packing
