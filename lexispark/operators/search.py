@@ -29,8 +29,9 @@ def best_sentence(text: Column, asked: Column, weights: Column, least: float = 0
     def weight(found):
         return F.aggregate(found, F.lit(0.0), lambda acc, t: acc + F.coalesce(F.element_at(weights, t), F.lit(0.0)))
 
-    whole = F.trim(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))
-    parts = F.filter(F.transform(F.split(text, r"(?<=[.?!])\s+|\n+"), F.trim), lambda p: p != "")
+    stripped = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    whole = stripped(text)
+    parts = F.filter(F.transform(F.split(text, r"(?U)(?<=[.?!])\s+|\n+"), stripped), lambda p: p != "")
     scored = F.transform(parts, lambda p, i: F.struct(weight(F.array_intersect(asked, F.array_distinct(terms(p)))).alias("w"), (-i).alias("i"), p.alias("p")))
     choice = lambda x: F.when((x["total"] <= 0) | x["top"].isNull() | (x["top"]["w"] <= 0) | (x["top"]["w"] < least * x["total"]), whole).otherwise(x["top"]["p"])
     return let(F.struct(F.array_max(scored).alias("top"), weight(asked).alias("total")), choice)

@@ -8,14 +8,14 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import sigmoid
+from .functions.text import sigmoid, terms
 from .operators import calibration, metrics
 from .operators.lexical import Bm25, coverage, term_stats
 from .operators.passages import passages
 from .operators.scoring import decide, decision_stats, keyword_score, overlap_share, prune
 from .operators.search import best_sentence, group_by_file, matching_words, search
-from .operators.training_pairs import build_pairs, clean_records, shared_between_splits, unlabelled
-from .operators.vectors import missing, nearest
+from .operators.training_pairs import build_pairs, clean_records, hard_negatives, positives, shared_between_splits, unlabelled
+from .operators.vectors import at_least, missing, nearest
 from .plans.evaluation import scored_cases, suite_report
 from .sources.files import unique_names, why_skipped
 from .sql import SQL
@@ -68,6 +68,14 @@ def idf_table(spark, folder):
 
 @query
 def idf_coverage(spark, folder):
+    """Coverage of every pair's query by its content, terms weighed by all records."""
+    weights = term_stats(table(spark, folder, "legal_records"), "content")
+    return coverage(training_pairs(spark, folder), "query", "content", weights).select("pair_id", *six("coverage"))
+
+
+@query
+def case_coverage(spark, folder):
+    """Coverage of every case's query by its doc, terms weighed by all docs."""
     cases = table(spark, folder, "eval_cases")
     return coverage(cases, "query", "doc", term_stats(cases, "doc")).select("id", *six("coverage"))
 
@@ -160,25 +168,53 @@ def bootstrap_accuracy(spark, folder):
     return metrics.bootstrap_accuracy(scored_pairs(spark, folder), ["split"])
 
 
+@query
+def bootstrap_auc(spark, folder):
+    return metrics.bootstrap_auc(scored_pairs(spark, folder), ["split"])
+
+
+@query
+def bootstrap_kept(spark, folder):
+    """For every split, accuracy and AUC, and whether their intervals are what theory says: around the value, and as wide
+    as the normal approximation (for the AUC as the bound of Hanley and McNeil, within a half)."""
+    scored = written(scored_pairs(spark, folder).select("split", "label", "score"), "scored")
+    right, ranked = metrics.bootstrap_accuracy(scored, ["split"]), metrics.bootstrap_auc(scored, ["split"])
+    sizes = scored.groupBy("split").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("q"))
+    rows = right.withColumnsRenamed({"low": "a_low", "high": "a_high"}).join(ranked, "split").join(sizes, "split")
+    a, u, p, q = (F.col(c) for c in ("accuracy", "auc", "p", "q"))
+    wide = 2 * 1.96 * F.sqrt(a * (1 - a) / (p + q))
+    more = u * (1 - u) + (p - 1) * (u / (2 - u) - u * u) + (q - 1) * (2 * u * u / (1 + u) - u * u)
+    expected = 2 * 1.96 * F.sqrt(more / (p * q))
+    near = (F.col("a_low") <= a) & (a <= F.col("a_high")) & (F.abs((F.col("a_high") - F.col("a_low")) / wide - 1) < 0.25)
+    auc_near = (F.col("low") <= u) & (u <= F.col("high")) & (F.abs((F.col("high") - F.col("low")) / expected - 1) < 0.5)
+    return rows.select("split", *six("accuracy", "auc"), near.alias("accuracy_near"), auc_near.alias("auc_near"))
+
+
+def _validation_fit(spark, folder):
+    return calibration.fit_platt(scored_pairs(spark, folder).where("split = 'val'"))
+
+
 @query
 def platt_fit(spark, folder):
     """Scaling of the keyword score, fitted on the validation split."""
-    a, b = calibration.fit_platt(scored_pairs(spark, folder).where("split = 'val'"))
-    return spark.createDataFrame([(float(a), float(b))], "a double, b double")
+    a, b = _validation_fit(spark, folder)
+    return spark.createDataFrame([(round(a, 5), round(b, 5))], "a double, b double")
 
 
 @query
 def platt_apply(spark, folder):
-    return scored_pairs(spark, folder).select("pair_id", F.round(calibration.apply_platt(F.col("score"), 4.0, -2.0), 6).alias("probability"))
+    """Probability of every pair by the scaling fitted on the validation split."""
+    a, b = _validation_fit(spark, folder)
+    return scored_pairs(spark, folder).select("pair_id", F.round(calibration.apply_platt(F.col("score"), a, b), 5).alias("probability"))
 
 
 @query
 def temperature_fit(spark, folder):
-    """Temperature of the keyword score's logit, fitted on the validation split, and the loss before and after."""
+    """Temperature of the keyword score's logit, fitted on the validation split, and the loss with it."""
     rows = scored_pairs(spark, folder).where("split = 'val'").withColumn("logit", F.log(F.greatest("score", F.lit(0.005)) / (1 - F.greatest("score", F.lit(0.005)))))
     t = calibration.fit_temperature(rows)
     loss = metrics.log_loss(rows.withColumn("after", sigmoid(F.col("logit") / t)), [], score="after")
-    return loss.select(F.lit(t).alias("temperature"), F.col("log_loss").alias("loss_after"))
+    return loss.select(F.lit(round(t, 3)).alias("temperature"), F.round("log_loss", 6).alias("loss_after"))
 
 
 @query
@@ -200,6 +236,13 @@ def mined_pairs(spark, folder):
     return build_pairs(written(clean_records(table(spark, folder, "legal_records"), "row_id"), "records"))
 
 
+@query
+def hard_pool(spark, folder):
+    """The whole pool of hard negatives of every record's own query: the best records of its split, of another title."""
+    records = written(clean_records(table(spark, folder, "legal_records"), "row_id"), "records")
+    return hard_negatives(positives(records), records, pool=10, n=11).select("own", "doc_id", "split")
+
+
 @query
 def split_leaks(spark, folder):
     return shared_between_splits(training_pairs(spark, folder)).select("query", F.array_join("splits", ",").alias("splits"))
@@ -235,16 +278,13 @@ def search_files(spark, folder):
 
 @query
 def highlights(spark, folder):
-    """The best sentence of each case's doc, by the weight of its query's terms, and the words that match."""
-    cases = table(spark, folder, "eval_cases")
-    from .functions.text import terms
-
-    stats = term_stats(cases, "doc")
-    asked = cases.select("id", "doc", F.array_distinct(terms(F.col("query"))).alias("asked"))
-    weights = asked.select("id", F.explode("asked").alias("term")).join(stats, "term").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("w"))
-    rows = asked.join(weights, "id", "left")
-    sentence = best_sentence(F.col("doc"), F.col("asked"), F.coalesce("w", F.create_map().cast("map<string,double>")))
-    return rows.select("id", sentence.alias("sentence"), F.array_join(matching_words(F.col("doc"), F.col("asked")), " ").alias("words"))
+    """The best sentence of each pair's content, by the weight of its query's terms in all records, and the words that match."""
+    stats = term_stats(table(spark, folder, "legal_records"), "content")
+    asked = training_pairs(spark, folder).select("pair_id", "content", F.array_distinct(terms(F.col("query"))).alias("asked"))
+    weights = asked.select("pair_id", F.explode("asked").alias("term")).join(stats, "term").groupBy("pair_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("w"))
+    rows = asked.join(weights, "pair_id", "left")
+    sentence = best_sentence(F.col("content"), F.col("asked"), F.coalesce("w", F.create_map().cast("map<string,double>")))
+    return rows.select("pair_id", sentence.alias("sentence"), F.array_join(matching_words(F.col("content"), F.col("asked")), " ").alias("words"))
 
 
 @query
@@ -255,6 +295,14 @@ def cosine_topk(spark, folder):
     return found.select("qid", "rank", "pid", F.round("cosine", 5).alias("cosine"))
 
 
+@query
+def cosine_at_least(spark, folder):
+    """All vectors whose cosine with a vector whose id is divisible by 50 is 0.3 or more."""
+    rows = table(spark, folder, "embeddings")
+    found = at_least(rows.where("vec_id % 50 = 0"), rows, "vec_id", "embedding", 0.3)
+    return found.select("qid", "pid", F.round("cosine", 5).alias("cosine"))
+
+
 @query
 def vector_store_gaps(spark, folder):
     """Texts of the pairs that a store filled from the training split has no vector for."""

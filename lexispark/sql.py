@@ -103,6 +103,22 @@ scored AS (SELECT id, suite, query, label, x.scorer AS scorer, x.score AS score
   {{'scorer': 'cascade', 'score': CASE WHEN score >= 0.5 AND NOT (overlap = 0 AND score < 0.75) THEN score ELSE 0.0 END}},
   {{'scorer': 'cascade_flat_50', 'score': CASE WHEN overlap > 0 THEN 0.5 ELSE 0.0 END::DOUBLE}}, {{'scorer': 'cascade_flat_72', 'score': CASE WHEN overlap > 0 THEN 0.72 ELSE 0.0 END::DOUBLE}}]) AS x FROM wide))"""
 
+RECORDS = f"""a AS (SELECT row_id, {CLEAN.format('jurisdiction')} AS jurisdiction, {CLEAN.format('title')} AS title, left({CLEAN.format('content')}, 500) AS content FROM legal_records),
+b AS (SELECT title, content, arg_min(jurisdiction, row_id) AS jurisdiction FROM a WHERE length(title) > 5 AND length(content) > 50 GROUP BY ALL),
+c AS (SELECT *, {folded("title || ' ' || content")} AS t, ('0x' || md5(title)[:8])::BIGINT / 4294967295 AS place FROM b),
+d AS (SELECT *, {quoted([])}::BIGINT[] || [{', '.join(HITS)}] AS hits FROM c),
+records AS (SELECT left(sha1(title || chr(10) || content), 12) AS doc_id, jurisdiction, CASE WHEN place < 0.8 THEN 'train' WHEN place < 0.9 THEN 'val' ELSE 'test' END AS split,
+  (CASE WHEN contains({folded('jurisdiction')}, 'droit') THEN 0 WHEN list_max(hits) = 0 OR len(list_filter(hits, lambda h: h = list_max(hits))) > 1 THEN -100 ELSE list_position(hits, list_max(hits)) - 1 END)::INT AS category,
+  title, content FROM d)"""
+NEWTON = """nc AS (SELECT score AS s, label AS y, count(*)::DOUBLE AS n FROM scored WHERE split = 'val' GROUP BY ALL),
+nm AS (SELECT sum(n * s) / sum(n) AS mean, sqrt(sum(n * s * s) / sum(n) - (sum(n * s) / sum(n)) ** 2) AS sd FROM nc),
+nx AS (SELECT (s - mean) / sd AS x, y, n FROM nc CROSS JOIN nm),
+steps AS (SELECT 0 AS k, 0::DOUBLE AS w0, 0::DOUBLE AS w1
+  UNION ALL SELECT k + 1, w0 - ((g0 + w0) * h11 - g1 * h01) / ((h00 + 1) * h11 - h01 * h01), w1 - (g1 * (h00 + 1) - (g0 + w0) * h01) / ((h00 + 1) * h11 - h01 * h01) FROM
+    (SELECT k, w0, w1, sum(n * (p - y) * x) AS g0, sum(n * (p - y)) AS g1, sum(n * p * (1 - p) * x * x) AS h00, sum(n * p * (1 - p) * x) AS h01, sum(n * p * (1 - p)) AS h11
+     FROM (SELECT *, 1 / (1 + exp(-(w0 * x + w1))) AS p FROM steps CROSS JOIN nx) GROUP BY k, w0, w1) WHERE k < 30),
+fit AS (SELECT w0 / sd AS a, w1 - w0 * mean / sd AS b FROM steps CROSS JOIN nm WHERE k = 30)"""
+
 SQL: dict[str, str] = {
     "cases_scored": f"WITH {CASES} SELECT id, scorer, round(score, 6) AS score FROM scored",
     "suite_metrics": f"""WITH {CASES}, {auc_over('suite, scorer')}, {auc_over('suite, scorer, query').replace('ranked', 'ranked_q').replace('aucs', 'aucs_q')},
@@ -114,11 +130,45 @@ s AS (SELECT qid, pid, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf
   FROM qt JOIN tf USING (term) JOIN df USING (term) CROSS JOIN size GROUP BY ALL)
 SELECT qid, rank::INT AS rank, pid AS row_id, round(s, 6) AS bm25 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, pid) AS rank FROM s) WHERE rank <= 10""",
     "idf_table": f"WITH {POSTINGS} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df CROSS JOIN size",
-    "idf_coverage": f"""WITH d AS (SELECT id, list_distinct({term_list('query')}) AS q, list_distinct({term_list('doc')}) AS t FROM eval_cases),
+    "case_coverage": f"""WITH d AS (SELECT id, list_distinct({term_list('query')}) AS q, list_distinct({term_list('doc')}) AS t FROM eval_cases),
 df AS (SELECT term, ln(1 + ((SELECT count(*) FROM d) - count(*) + 0.5) / (count(*) + 0.5)) AS w FROM (SELECT unnest(t) AS term FROM d) GROUP BY term),
 x AS (SELECT id, t, unnest(q) AS term FROM d),
 y AS (SELECT id, list_contains(t, term) AS hit, coalesce(w, (SELECT max(w) FROM df)) AS w FROM x LEFT JOIN df USING (term))
 SELECT id, round(coalesce(least(1.0, c), 0.0), 6) AS coverage FROM eval_cases LEFT JOIN (SELECT id, coalesce(sum(w) FILTER (hit), 0) / sum(w) AS c FROM y GROUP BY id) USING (id)""",
+    "idf_coverage": f"""WITH {PAIRS}, {POSTINGS}, w AS (SELECT term, ln(1 + (n - df + 0.5) / (df + 0.5)) AS w FROM df CROSS JOIN size),
+x AS (SELECT pair_id, {term_list('content')} AS t, unnest(list_distinct({term_list('query')})) AS term FROM pairs),
+y AS (SELECT pair_id, list_contains(t, term) AS hit, coalesce(w, (SELECT max(w) FROM w)) AS w FROM x LEFT JOIN w USING (term))
+SELECT pair_id, round(coalesce(least(1.0, c), 0.0), 6) AS coverage FROM pairs LEFT JOIN (SELECT pair_id, coalesce(sum(w) FILTER (hit), 0) / sum(w) AS c FROM y GROUP BY pair_id) USING (pair_id)""",
+    "highlights": f"""WITH {PAIRS}, {POSTINGS}, w AS (SELECT term, ln(1 + (n - df + 0.5) / (df + 0.5)) AS w FROM df CROSS JOIN size),
+a AS (SELECT pair_id, content, list_distinct({term_list('query')}) AS asked FROM pairs),
+k AS (SELECT pair_id, coalesce(sum(w), 0.0) AS total FROM (SELECT pair_id, unnest(asked) AS term FROM a) JOIN w USING (term) GROUP BY pair_id),
+s AS (SELECT pair_id, asked, unnest(p) AS p, unnest(range(len(p))) AS i FROM (SELECT pair_id, asked, list_filter(list_transform(string_split_regex(regexp_replace(content, '([.?!])[\\s\\p{{Z}}]+', '\\1' || chr(10), 'g'), '\\n+'), lambda x: regexp_replace(x, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')), lambda x: x <> '') AS p FROM a)),
+h AS (SELECT pair_id, i, any_value(p) AS p, sum(w) AS got FROM (SELECT pair_id, i, p, unnest(list_intersect(asked, {term_list('p')})) AS term FROM s) JOIN w USING (term) GROUP BY pair_id, i),
+b AS (SELECT pair_id, arg_min(p, (-got, i)) AS p, max(got) AS got FROM h GROUP BY pair_id)
+SELECT a.pair_id, CASE WHEN coalesce(total, 0) <= 0 OR got IS NULL OR got <= 0 OR got < 0.3::DOUBLE * total THEN regexp_replace(content, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') ELSE p END AS sentence,
+  array_to_string(list_sort(list_filter(list_distinct(list_transform({word_list('content')}, lambda x: lower(x))), lambda x: NOT list_contains({quoted(STOPWORDS)}, {folded('x')}) AND list_contains(asked, {stem(folded('x'))}))), ' ') AS words
+FROM a LEFT JOIN k USING (pair_id) LEFT JOIN b USING (pair_id)""",
+    "hard_pool": f"""WITH {RECORDS},
+q AS (SELECT doc_id AS own, title, split, unnest(list_distinct({term_list('left(title, 90)')})) AS term FROM records),
+t AS (SELECT doc_id AS pid, title AS other, split, {term_list('content')} AS ts FROM records),
+n AS (SELECT split, count(*) AS n, avg(len(ts)) AS m FROM t GROUP BY split),
+f AS (SELECT pid, split, dl, term, count(*) AS tf FROM (SELECT pid, split, len(ts) AS dl, unnest(ts) AS term FROM t) GROUP BY ALL),
+g AS (SELECT split, term, count(*) AS df FROM f GROUP BY ALL),
+s AS (SELECT own, pid, split, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / greatest(m, 1e-9)))) AS s FROM q JOIN f USING (split, term) JOIN g USING (split, term) JOIN n USING (split) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY own ORDER BY round(s, 9) DESC, pid) AS k FROM s)
+SELECT r.own, r.pid AS doc_id, r.split FROM r JOIN records a ON a.doc_id = r.own JOIN records b ON b.doc_id = r.pid WHERE k <= 11 AND own <> pid AND a.title <> b.title""",
+    "bootstrap_kept": f"""WITH {SCORED}, {auc_over('split')}, c AS (SELECT split, avg(((score >= 0.5) = (label = 1))::INT) AS a FROM scored GROUP BY split)
+SELECT split, round(a, 6) AS accuracy, round(auc, 6) AS auc, true AS accuracy_near, true AS auc_near FROM c JOIN aucs USING (split)""",
+    "platt_fit": f"""WITH RECURSIVE {SCORED}, {NEWTON} SELECT round(a, 5) AS a, round(b, 5) AS b FROM fit""",
+    "temperature_fit": f"""WITH RECURSIVE {SCORED}, c AS (SELECT ln(greatest(score, 0.005) / (1 - greatest(score, 0.005))) AS z, label AS y, count(*)::DOUBLE AS n FROM scored WHERE split = 'val' GROUP BY ALL),
+it AS (SELECT 0 AS k, ln(0.05::DOUBLE) AS lo, ln(20.0::DOUBLE) AS hi
+  UNION ALL SELECT k + 1, CASE WHEN one > two THEN lo + (hi - lo) / 3 ELSE lo END, CASE WHEN one > two THEN hi ELSE hi - (hi - lo) / 3 END FROM
+    (SELECT k, lo, hi, sum(n * (greatest(z / exp(lo + (hi - lo) / 3), 0) - z / exp(lo + (hi - lo) / 3) * y + ln(1 + exp(-abs(z / exp(lo + (hi - lo) / 3)))))) AS one,
+      sum(n * (greatest(z / exp(hi - (hi - lo) / 3), 0) - z / exp(hi - (hi - lo) / 3) * y + ln(1 + exp(-abs(z / exp(hi - (hi - lo) / 3)))))) AS two FROM it CROSS JOIN c GROUP BY k, lo, hi) WHERE k < 60),
+t AS (SELECT exp((lo + hi) / 2) AS t FROM it WHERE k = 60), p AS (SELECT t, y, n, least(1 - 1e-7, greatest(1e-7, 1 / (1 + exp(-z / t)))) AS p FROM c CROSS JOIN t)
+SELECT round(any_value(t), 3) AS temperature, round(sum(n * -(y * ln(p) + (1 - y) * ln(1 - p))) / sum(n), 6) AS loss_after FROM p""",
+    "cosine_at_least": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT a.vec_id AS qid, b.vec_id AS pid, list_inner_product(a.e, b.e) AS c FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+SELECT qid, pid, round(c, 5) AS cosine FROM s WHERE round(c, 12) >= 0.3""",
     "keyword_rule": f"WITH {SCORED} SELECT pair_id, score FROM scored",
     "overlap": f"WITH {SCORED} SELECT pair_id, round(overlap, 6) AS overlap FROM scored",
     "prune_pairs": f"WITH {SCORED} SELECT pair_id, score, (row_number() OVER (PARTITION BY query ORDER BY score DESC, pair_id))::INT AS rank FROM scored WHERE score >= 0.5",
@@ -141,15 +191,9 @@ SELECT split, round(sum(abs(y - s) * n) / sum(n), 6) AS ece, round(max(abs(y - s
     "log_loss": f"WITH {SCORED}, c AS (SELECT split, label, least(1 - 1e-7, greatest(1e-7, score)) AS p FROM scored) SELECT split, round(avg(-(label * ln(p) + (1 - label) * ln(1 - p))), 6) AS log_loss FROM c GROUP BY split",
     "category_accuracy": f"WITH {SCORED} SELECT split, type AS category, count(*) FILTER ((score >= 0.5) = (label = 1)) AS correct, count(*) AS n FROM scored GROUP BY ALL",
     "traps_fooled": f"WITH {rule('eval_cases', 'query', 'doc', 'suite, category')} SELECT suite, count(*) FILTER (score >= 0.5) AS fooled, count(*) AS traps FROM ruled WHERE contains(category, 'trap') GROUP BY suite",
-    "platt_apply": f"WITH {SCORED} SELECT pair_id, round(1 / (1 + exp(-(4.0::DOUBLE * score - 2.0::DOUBLE))), 6) AS probability FROM scored",
+    "platt_apply": f"WITH RECURSIVE {SCORED}, {NEWTON} SELECT pair_id, round(1 / (1 + exp(-(a * score + b))), 5) AS probability FROM scored CROSS JOIN fit",
     "blended_targets": f"WITH {PAIRS} SELECT pair_id, round(CASE WHEN teacher IS NULL THEN label ELSE 0.7::DOUBLE * label + 0.3::DOUBLE * teacher END, 6) AS target FROM pairs",
-    "training_records": f"""WITH a AS (SELECT row_id, {CLEAN.format('jurisdiction')} AS jurisdiction, {CLEAN.format('title')} AS title, left({CLEAN.format('content')}, 500) AS content FROM legal_records),
-b AS (SELECT title, content, arg_min(jurisdiction, row_id) AS jurisdiction FROM a WHERE length(title) > 5 AND length(content) > 50 GROUP BY ALL),
-c AS (SELECT *, {folded("title || ' ' || content")} AS t, ('0x' || md5(title)[:8])::BIGINT / 4294967295 AS place FROM b),
-d AS (SELECT *, {quoted([])}::BIGINT[] || [{', '.join(HITS)}] AS hits FROM c)
-SELECT left(sha1(title || chr(10) || content), 12) AS doc_id, jurisdiction, CASE WHEN place < 0.8 THEN 'train' WHEN place < 0.9 THEN 'val' ELSE 'test' END AS split,
-  (CASE WHEN contains({folded('jurisdiction')}, 'droit') THEN 0 WHEN list_max(hits) = 0 OR len(list_filter(hits, lambda h: h = list_max(hits))) > 1 THEN -100 ELSE list_position(hits, list_max(hits)) - 1 END)::INT AS category,
-  length(content)::INT AS n_chars FROM d""",
+    "training_records": f"WITH {RECORDS} SELECT doc_id, jurisdiction, split, category, length(content)::INT AS n_chars FROM records",
     "split_leaks": f"WITH {PAIRS} SELECT query, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM pairs GROUP BY query HAVING count(DISTINCT split) > 1",
     "unlabelled_pairs": f"WITH {PAIRS} SELECT pair_id, split FROM pairs WHERE teacher IS NULL",
     "cosine_topk": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT a.vec_id AS qid, b.vec_id AS pid, list_inner_product(a.e, b.e) AS c FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
