@@ -1,11 +1,53 @@
-"""Inputs and heads of a pair model as array columns: encoded pairs, masks, choice and rubric outputs."""
+"""Inputs and heads of a pair model as array columns: token ids, encoded pairs, masks, choice and rubric outputs."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import let, sigmoid
+from ..functions.text import let, normalize, sigmoid
+
+# Special tokens, letters and words of the character vocabulary, in the order of their ids.
+SPECIAL = ("[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]")
+LETTERS = "".join(map(chr, range(32, 127))) + "éèêëàâäôöûüçîïÉÈÊËÀÂÄÔÖÛÜÇÎÏ«»—–’'°%€$£"
+STEMS = """
+oui non aucun aucune pas jamais sans ne allergie allergique traitement posologie patient dossier antécédent diagnostic
+ordonnance médicament chirurgie bilan yes no not none never without allergy patient date nom prix statut clause contrat
+article loi vrai faux pertinent trouvé score recherche texte
+""".split()
+
+
+def character_vocabulary(special: Iterable[str] = SPECIAL, letters: Iterable[str] = LETTERS, stems: Iterable[str] = STEMS) -> dict[str, int]:
+    """Ids of the special tokens, the letters and every beginning of the stems, in this order, each once."""
+    pieces = [*special, *letters, *(w[: k + 1] for w in stems for k in range(len(w)))]
+    return {piece: k for k, piece in enumerate(dict.fromkeys(pieces))}
+
+
+def _lookup(ids: dict) -> Column:
+    return F.map_from_arrays(F.array(*[F.lit(k) for k in ids]), F.array(*[F.lit(v) for v in ids.values()]))
+
+
+def token_ids(text: Column, vocabulary: dict[str, int], special: tuple[str, ...] = SPECIAL, unknown: str = "[UNK]") -> Column:
+    """Ids of the longest pieces of the vocabulary that each word is made of, from its front on; a null has none.
+
+    Text is in lower case; words are runs of letters, digits and apostrophes, and every other sign is one of its own.  A
+    character that no piece begins with is the unknown token.
+    """
+    pieces = sorted((p for p in vocabulary if p not in special), key=lambda p: (-len(p), p))
+    longest_first = "|".join(map(re.escape, pieces))
+    words = F.regexp_extract_all(normalize(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_']+|[^\p{L}\p{N}_\s]"), F.lit(0))
+    cut = F.flatten(F.transform(words, lambda w: F.regexp_extract_all(w, F.lit(f"(?s){longest_first}|."), F.lit(0))))
+    known = _lookup({p: vocabulary[p] for p in pieces})
+    return F.transform(cut, lambda p: F.coalesce(F.element_at(known, p), F.lit(vocabulary[unknown])))
+
+
+def decoded(ids: Column, vocabulary: dict[str, int], special: tuple[str, ...] = SPECIAL) -> Column:
+    """Text of token ids without the special ones; ids beyond the vocabulary give nothing."""
+    known = _lookup({k: p for p, k in vocabulary.items() if p not in special})
+    return F.array_join(F.filter(F.transform(ids, lambda k: F.element_at(known, k)), lambda p: p.isNotNull()), "")
 
 
 def pair_ids(query: Column, text: Column, first: int, separator: int, most: int = 256, most_query: int = 64) -> Column:

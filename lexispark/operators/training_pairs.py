@@ -81,13 +81,29 @@ def random_negatives(asked: DataFrame, records: DataFrame, n: int = 1, seed: int
 
 
 def build_pairs(records: DataFrame, extra_queries: DataFrame | None = None, n_hard: int = 1, n_random: int = 1, pool: int = 10, seed: int = 42) -> DataFrame:
-    """Positive, hard and random negative rows of all splits; splits never mix, draws depend on the seed and ids only."""
+    """Positive, hard and random negative rows of all splits; splits never mix, draws depend on the seed and ids only.
+
+    ``pair_id`` is the split and a running number, in an order that the seed gives.
+    """
     asked = positives(records, extra_queries)
     held = records.select("doc_id", "content", "category")
     hard = hard_negatives(asked, records, pool, n_hard, seed).join(held, "doc_id")
     rand = random_negatives(asked, records, n_random, seed).join(held, "doc_id")
     rows = _row(asked.withColumn("own", F.col("doc_id")), 1.0, "positive").unionByName(_row(hard, 0.0, "hard_negative")).unionByName(_row(rand, 0.0, "random_negative"))
-    return rows.withColumn("pair_id", F.concat_ws("-", "split", F.substring(_seeded(seed, F.col("query"), F.col("own"), F.col("doc_id"), F.col("type")), 1, 16))).drop("own")
+    return numbered(rows.withColumn("_h", _seeded(seed, F.col("query"), F.col("own"), F.col("doc_id"), F.col("type"))), "split", "_h").drop("own", "_h")
+
+
+def numbered(rows: DataFrame, split: str, order: str, digits: int = 3) -> DataFrame:
+    """Rows with ``pair_id``: the split and a running number from 0 by ``order`` (hexadecimal hashes, unique in a split).
+
+    Rows are counted by the first digits of the hash before they are numbered within these, so no split is sorted in one
+    task.
+    """
+    rows = written(rows.withColumn("_head", F.substring(order, 1, digits)), "pairs")
+    before = Window.partitionBy(split).orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy(split, "_head").agg(F.count("*").alias("_n")).select(split, "_head", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    number = F.row_number().over(Window.partitionBy(split, "_head").orderBy(order)) - 1 + F.col("_offset")
+    return rows.join(offsets, [split, "_head"]).withColumn("pair_id", F.format_string("%s-%08d", split, number)).drop("_head", "_offset")
 
 
 def shared_between_splits(rows: DataFrame, value: str = "query", split: str = "split") -> DataFrame:

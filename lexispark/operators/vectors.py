@@ -130,3 +130,16 @@ def embed(texts: DataFrame, text: str, encoder, store: DataFrame, batch: int = 1
 
     found = missing(texts, text, store).mapInArrow(run, "text_key string, vector array<float>")
     return found.withColumn("created", F.current_timestamp())
+
+
+def embed_cached(rows: DataFrame, text: str, encoder, store: DataFrame, batch: int = 16) -> tuple[DataFrame, DataFrame, int]:
+    """(every row with its ``vector``; the rows to append to the store; how many texts the store lacked).
+
+    Each distinct text that the store lacks is encoded once, and written before it is joined back by its key; a row with a
+    null text has a null vector.  Columns of ``rows`` stay as they are.
+    """
+    new = written(embed(rows, text, encoder, store, batch), "vectors")
+    known = store.select("text_key", "vector").unionByName(new.select("text_key", "vector"))
+    keyed = rows.withColumn("_key", F.sha2(F.col(text), 256))
+    joined = keyed.join(known.withColumnRenamed("text_key", "_key"), "_key", "left").drop("_key")
+    return joined, new, new.count()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import sigmoid, terms
 from .operators import calibration, metrics
+from .operators.encoding import character_vocabulary, pair_ids, token_ids
 from .operators.lexical import Bm25, coverage, term_stats
 from .operators.passages import passages
 from .operators.scoring import decide, decision_stats, keyword_score, overlap_share, prune
@@ -243,6 +244,14 @@ def hard_pool(spark, folder):
     return hard_negatives(positives(records), records, pool=10, n=11).select("own", "doc_id", "split")
 
 
+@query
+def pair_tokens(spark, folder):
+    """Token ids of every pair, as a pair model takes them: start, query, separator, content, separator."""
+    known = character_vocabulary()
+    ids = pair_ids(token_ids(F.col("query"), known), token_ids(F.col("content"), known), known["[CLS]"], known["[SEP]"])
+    return training_pairs(spark, folder).select("pair_id", F.array_join(ids.cast("array<string>"), " ").alias("ids"))
+
+
 @query
 def split_leaks(spark, folder):
     return shared_between_splits(training_pairs(spark, folder)).select("query", F.array_join("splits", ",").alias("splits"))

@@ -96,6 +96,13 @@ def scan_folder(spark: SparkSession, folder: str, max_bytes: int = MAX_BYTES, ma
     return documents, skipped
 
 
+def skipped_report(skipped: DataFrame, most: int = 50) -> DataFrame:
+    """The first ``most`` skipped files by path, with their reason and the number of all of them (``skipped_total``)."""
+    name = skipped.columns[0]
+    total = skipped.agg(F.count("*").alias("skipped_total"))
+    return skipped.orderBy(name, "reason").limit(most).crossJoin(F.broadcast(total))
+
+
 def unique_names(rows: DataFrame, name: str, order: str, bucket_rows: int = 100_000) -> DataFrame:
     """Rows with ``unique_name``: the base name, from the second row of a base name on as ``stem (n).suffix``.
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from .functions.text import CATEGORY_PHRASES, NEGATIONS, OVERLAP_STOPWORDS, STOPWORDS
+from .operators.encoding import SPECIAL, character_vocabulary
 from .sources.files import SKIPPED_FOLDERS, SUFFIXES
 
 
@@ -119,7 +122,19 @@ steps AS (SELECT 0 AS k, 0::DOUBLE AS w0, 0::DOUBLE AS w1
      FROM (SELECT *, 1 / (1 + exp(-(w0 * x + w1))) AS p FROM steps CROSS JOIN nx) GROUP BY k, w0, w1) WHERE k < 30),
 fit AS (SELECT w0 / sd AS a, w1 - w0 * mean / sd AS b FROM steps CROSS JOIN nm WHERE k = 30)"""
 
+IDS = character_vocabulary()
+PIECES = sorted((p for p in IDS if p not in SPECIAL), key=lambda p: (-len(p), p))
+PATTERN = ("|".join(map(re.escape, PIECES)) + "|.").replace("'", "''")
+
+
+def piece_ids(x: str) -> str:
+    cut = f"flatten(list_transform(regexp_extract_all({norm(x)}, '[\\p{{L}}\\p{{N}}_'']+|[^\\p{{L}}\\p{{N}}_\\s\\p{{Z}}]'), lambda w: regexp_extract_all(w, '{PATTERN}')))"
+    return f"list_transform({cut}, lambda p: coalesce(map({quoted(PIECES)}, {[IDS[p] for p in PIECES]})[p], {IDS['[UNK]']}))"
+
+
 SQL: dict[str, str] = {
+    "pair_tokens": f"""WITH {PAIRS}, t AS (SELECT pair_id, {piece_ids('query')}[1:64] AS q, {piece_ids('content')} AS c FROM pairs)
+SELECT pair_id, array_to_string(([{IDS['[CLS]']}] || q || [{IDS['[SEP]']}] || c[1:253 - len(q)] || [{IDS['[SEP]']}])[1:256], ' ') AS ids FROM t""",
     "cases_scored": f"WITH {CASES} SELECT id, scorer, round(score, 6) AS score FROM scored",
     "suite_metrics": f"""WITH {CASES}, {auc_over('suite, scorer')}, {auc_over('suite, scorer, query').replace('ranked', 'ranked_q').replace('aucs', 'aucs_q')},
 m AS (SELECT suite, scorer, count(*) AS n, count(*) FILTER (score >= 0.5 AND label = 1) AS tp, count(*) FILTER (score >= 0.5 AND label = 0) AS fp, count(*) FILTER (score < 0.5 AND label = 0) AS tn, count(*) FILTER (score < 0.5 AND label = 1) AS fn FROM scored GROUP BY ALL),

@@ -17,7 +17,7 @@ from lexispark.operators.scoring import ambiguous, decide, decision_stats, keywo
 from lexispark.operators.search import best_sentence, drop_repeated, matching_words, search
 from lexispark.operators.training_pairs import build_pairs, clean_records, hard_negatives, random_negatives, shared_between_splits, unlabelled
 from lexispark.operators import vectors as vectors_module
-from lexispark.operators.vectors import at_least, embed, missing, nearest, pool, retained
+from lexispark.operators.vectors import at_least, embed, embed_cached, missing, nearest, pool, retained
 from lexispark.plans.evaluation import as_markdown, suite_report
 from lexispark.sources import files
 
@@ -278,6 +278,9 @@ def test_training_pairs(spark):
     assert records.count() == 60
     pairs = build_pairs(records).collect()
     assert pairs and len({p.pair_id for p in pairs}) == len(pairs) and {p.type for p in pairs} == {"positive", "hard_negative", "random_negative"}
+    for split in {p.split for p in pairs}:
+        mine = sorted(p.pair_id for p in pairs if p.split == split)
+        assert mine == [f"{split}-{k:08d}" for k in range(len(mine))]
     title = {r.doc_id: (r.title, r.split) for r in records.collect()}
     for p in pairs:
         assert title[p.doc_id][1] == p.split
@@ -438,6 +441,40 @@ def test_suite_report(spark):
     assert "| dev | keyword |" in as_markdown(suite_report(cases), ["suite", "scorer", "accuracy"])
 
 
+def test_character_tokens(spark):
+    from lexispark.operators.encoding import character_vocabulary, decoded, token_ids
+
+    known = character_vocabulary()
+    texts = ["Le patient n'a  aucune allergie !", "", None, "контракт 42", "CONTRAT\u00a0écrit"]
+
+    def brute(text):
+        out = []
+        for word in re.findall(r"[\w']+|[^\w\s]", re.sub(r"\s+", " ", text.lower().strip())):
+            while word:
+                n = next((n for n in range(len(word), 0, -1) if word[:n] in known), 0)
+                out.append(known[word[:n]] if n else known["[UNK]"])
+                word = word[max(1, n) :]
+        return out
+
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, a string").select("i", token_ids(F.col("a"), known).alias("x"))
+    got = [(r.x, r.t) for r in rows.select("x", decoded(F.col("x"), known).alias("t"), "i").orderBy("i").collect()]
+    assert [x for x, _ in got] == [brute(t or "") for t in texts]
+    assert [t for _, t in got][:2] == ["lepatientn'aaucuneallergie!", ""] and len(known) == len(set(known.values())) and got[3][1] == "42"
+
+
+def test_cached_vectors_and_reports(spark):
+    texts = spark.createDataFrame([("a", 1), ("bb", 2), ("a", 3), (None, 4)], "t string, vec int")
+    store = spark.createDataFrame([], "text_key string, vector array<float>, created timestamp")
+    calls = lambda xs: [[float(len(x))] for x in xs]
+    rows, new, misses = embed_cached(texts, "t", calls, store)
+    assert {r.vec: r.vector for r in rows.collect()} == {1: [1.0], 2: [2.0], 3: [1.0], 4: None} and misses == 2
+    assert embed_cached(texts, "t", calls, new)[2] == 0
+    skipped = spark.createDataFrame([(f"f{k:02d}", "type") for k in range(70)], "path string, reason string")
+    found = files.skipped_report(skipped).collect()
+    assert len(found) == 50 and {r.skipped_total for r in found} == {70} and found[0].path == "f00"
+    assert files.skipped_report(skipped.limit(0)).count() == 0
+
+
 def test_pair_encoding_and_heads(spark):
     from lexispark.operators.encoding import choice, padded, pair_ids, rubric
 
