@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import written
+from ..storage import small, written
 from .classes import SPAN, pair_rows
 
 # Letters that are drawn like a Latin letter, and hyphens drawn like the ASCII one.
@@ -291,7 +291,7 @@ def canonical_texts(items: DataFrame, id_column: str, text: Column, budget: int
     spellings = written(known.mapInArrow(_spellings(budget), "word string, spelling string"), "spellings")
     odd = rows.where(F.col("text").rlike(odd_characters()))
     wanted = odd.mapInArrow(_odd_words, f"id {kind}, word string")
-    changes = wanted.join(spellings, "word").groupBy("id").agg(F.collect_list(F.struct("word", "spelling")).alias("words"))
+    changes = wanted.join(small(spellings), "word").groupBy("id").agg(F.collect_list(F.struct("word", "spelling")).alias("words"))
     changed = odd.join(changes, "id", "left").select("id", "text", "words").mapInArrow(_rewritten, f"id {kind}, text string, canonical string")
     same = rows.where(F.col("text").isNull() | ~F.col("text").rlike(odd_characters()))
     return changed.unionByName(same.select("id", "text", F.regexp_replace("text", "\r\n?", "\n").alias("canonical")))
