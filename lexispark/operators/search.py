@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import STOPWORDS, WORD, fold_accents, let, light_stem, terms
-from .lexical import Bm25
+from .lexical import Bm25, term_stats
 from .scoring import keyword_score
 
 
@@ -91,9 +91,10 @@ def search(queries: DataFrame, query_key: str, query_text: str, found: DataFrame
     s = (settings or SearchSettings()).clamped()
     asked = queries.select(F.col(query_key).alias("qid"), F.substring(F.trim(F.col(query_text)), 1, MOST_QUERY_CHARS).alias("query")).where("query != ''")
     index = Bm25(found, "passage_id", "text")
-    pool, known = index.top_with_weights(asked, "qid", "query", s.pool)
-    if candidates is not None:
-        scored = index.scores(asked, "qid", "query")
+    if candidates is None:
+        pool, known = index.top_with_weights(asked, "qid", "query", s.pool)
+    else:
+        scored, known = index.scores(asked, "qid", "query"), term_stats(found, "text")
         pool = candidates.select("qid", "pid", "score").join(scored, ["qid", "pid"], "left").fillna(0.0, ["bm25"]).withColumn("rank", F.lit(0))
     rows = pool.drop("rank").join(found.withColumnRenamed("passage_id", "pid"), "pid").join(asked, "qid")
     if candidates is None:

@@ -237,6 +237,23 @@ def mined_pairs(spark, folder):
     return build_pairs(written(clean_records(table(spark, folder, "legal_records"), "row_id"), "records"))
 
 
+@query
+def pairs_kept(spark, folder):
+    """For every split, what any right mining keeps: a positive for each record, negatives of the same split and of another
+    title, hard ones from the pool, numbers that run from 0."""
+    records = written(clean_records(table(spark, folder, "legal_records"), "row_id"), "records")
+    pairs = build_pairs(records)
+    of = records.select("doc_id", F.col("title").alias("_title"), F.col("split").alias("_split"))
+    rows = pairs.join(of, "doc_id").withColumn("_same", F.substring("_title", 1, 90) == F.col("query"))
+    number = F.substring_index("pair_id", "-", -1).cast("bigint")
+    return rows.groupBy("split").agg(
+        F.count_if(F.col("type") == "positive").alias("positives"),
+        F.count_if((F.col("type") == "positive") & ~F.col("_same")).alias("wrong_positives"),
+        F.count_if(F.col("split") != F.col("_split")).alias("split_mixed"),
+        (F.max(number) - F.count("*")).alias("last_number"),
+    )
+
+
 @query
 def hard_pool(spark, folder):
     """The whole pool of hard negatives of every record's own query: the best records of its split, of another title."""
@@ -269,6 +286,16 @@ def document_passages(spark, folder):
     return found.select("passage_id", F.col("doc").alias("doc_id"), "passage_no", "line_start", "line_end", "shared_prev", F.length("body").alias("n_chars"))
 
 
+@query
+def passages_kept(spark, folder):
+    """For every document with a word, what any right cutting keeps: its letters and digits, in order and each once, when
+    what a passage repeats is left out."""
+    found = passages(table(spark, folder, "documents"), "doc_id", F.col("text"), F.col("file_name"))
+    fresh = F.regexp_replace(F.expr("substring(body, shared_prev + 1)"), r"[^\p{L}\p{N}_]+", "")
+    parts = F.array_sort(F.collect_list(F.struct("passage_no", fresh.alias("fresh"))))
+    return found.groupBy(F.col("doc").alias("doc_id")).agg(F.md5(F.array_join(F.transform(parts, lambda x: x["fresh"]), "")).alias("letters"))
+
+
 def _found(spark, folder):
     found = written(passages(table(spark, folder, "legal_records"), "row_id", F.col("content"), F.col("source_file")), "passages")
     return search(asked_queries(spark, folder), "qid", "query", found)

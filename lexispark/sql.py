@@ -163,6 +163,8 @@ b AS (SELECT pair_id, arg_min(p, (-got, i)) AS p, max(got) AS got FROM h GROUP B
 SELECT a.pair_id, CASE WHEN coalesce(total, 0) <= 0 OR got IS NULL OR got <= 0 OR got < 0.3::DOUBLE * total THEN regexp_replace(content, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') ELSE p END AS sentence,
   array_to_string(list_sort(list_filter(list_distinct(list_transform({word_list('content')}, lambda x: lower(x))), lambda x: NOT list_contains({quoted(STOPWORDS)}, {folded('x')}) AND list_contains(asked, {stem(folded('x'))}))), ' ') AS words
 FROM a LEFT JOIN k USING (pair_id) LEFT JOIN b USING (pair_id)""",
+    "passages_kept": "SELECT doc_id, md5(regexp_replace(text, '[^\\p{L}\\p{N}_]+', '', 'g')) AS letters FROM documents WHERE regexp_matches(text, '[\\p{L}\\p{N}_]')",
+    "pairs_kept": f"WITH {RECORDS} SELECT split, count(*) AS positives, 0 AS wrong_positives, 0 AS split_mixed, -1 AS last_number FROM records GROUP BY split",
     "hard_pool": f"""WITH {RECORDS},
 q AS (SELECT doc_id AS own, title, split, unnest(list_distinct({term_list('left(title, 90)')})) AS term FROM records),
 t AS (SELECT doc_id AS pid, title AS other, split, {term_list('content')} AS ts FROM records),

@@ -484,3 +484,19 @@ def test_pair_encoding_and_heads(spark):
     assert got[0].i == [101, 1, 2, 102, 3, 4, 5, 102] and len(got[1].i) == 256 and got[1].i[65] == 102 and got[2].i == [101, 102, 102]
     assert all(len(g.p.ids) == len(g.p.mask) == 256 and sum(g.p.mask) == len(g.i) and g.r == 2.0 for g in got)
     assert [g.x["index"] for g in got] == [1, 0, 0] and abs(got[0].x.probability - 1 / (1 + math.exp(-2))) < 1e-12 and got[1].x.probability == 0.5
+
+
+def test_entry_without_the_llm_folder(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).parent.parent
+    shutil.copytree(root / "lexispark", tmp_path / "lexispark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    for leftover in (False, True):
+        if leftover:
+            (tmp_path / "lexispark" / "llm" / "__pycache__").mkdir(parents=True)
+        code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n[0] == 'p' and n[1].isdigit() for n in q) and set(e.oracle_sql()) <= set(q)"
+        subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
