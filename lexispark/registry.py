@@ -274,6 +274,12 @@ def split_leaks(spark, folder):
     return shared_between_splits(training_pairs(spark, folder)).select("query", F.array_join("splits", ",").alias("splits"))
 
 
+@query
+def content_leaks(spark, folder):
+    """Contents that stand in more than one split of the pairs."""
+    return shared_between_splits(training_pairs(spark, folder), "content").select("content", F.array_join("splits", ",").alias("splits"))
+
+
 @query
 def unlabelled_pairs(spark, folder):
     rows = training_pairs(spark, folder)

@@ -212,6 +212,7 @@ SELECT split, round(sum(abs(y - s) * n) / sum(n), 6) AS ece, round(max(abs(y - s
     "blended_targets": f"WITH {PAIRS} SELECT pair_id, round(CASE WHEN teacher IS NULL THEN label ELSE 0.7::DOUBLE * label + 0.3::DOUBLE * teacher END, 6) AS target FROM pairs",
     "training_records": f"WITH {RECORDS} SELECT doc_id, jurisdiction, split, category, length(content)::INT AS n_chars FROM records",
     "split_leaks": f"WITH {PAIRS} SELECT query, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM pairs GROUP BY query HAVING count(DISTINCT split) > 1",
+    "content_leaks": f"WITH {PAIRS} SELECT content, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM pairs GROUP BY content HAVING count(DISTINCT split) > 1",
     "unlabelled_pairs": f"WITH {PAIRS} SELECT pair_id, split FROM pairs WHERE teacher IS NULL",
     "cosine_topk": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT a.vec_id AS qid, b.vec_id AS pid, list_inner_product(a.e, b.e) AS c FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
 SELECT qid, rank::INT AS rank, pid, round(c, 5) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(c, 12) DESC, pid) AS rank FROM s) WHERE rank <= 10""",
