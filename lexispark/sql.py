@@ -143,7 +143,7 @@ SELECT suite, scorer, n, tp, fp, tn, fn, round((tp + tn) / n, 6) AS accuracy, ro
     "bm25_topk": f"""WITH {ASKED}, qt AS (SELECT DISTINCT qid, unnest({term_list('query')}) AS term FROM asked), {POSTINGS},
 s AS (SELECT qid, pid, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / greatest(m, 1e-9)))) AS s
   FROM qt JOIN tf USING (term) JOIN df USING (term) CROSS JOIN size GROUP BY ALL)
-SELECT qid, rank::INT AS rank, pid AS row_id, round(s, 6) AS bm25 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, pid) AS rank FROM s) WHERE rank <= 10""",
+SELECT qid, rank::INT AS rank, pid AS row_id, round(round(s, 9), 6) AS bm25 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, pid) AS rank FROM s) WHERE rank <= 10""",
     "idf_table": f"WITH {POSTINGS} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df CROSS JOIN size",
     "case_coverage": f"""WITH d AS (SELECT id, list_distinct({term_list('query')}) AS q, list_distinct({term_list('doc')}) AS t FROM eval_cases),
 df AS (SELECT term, ln(1 + ((SELECT count(*) FROM d) - count(*) + 0.5) / (count(*) + 0.5)) AS w FROM (SELECT unnest(t) AS term FROM d) GROUP BY term),
