@@ -26,9 +26,10 @@ def roc_auc(rows: DataFrame, by: list[str], label: str = "label", score: str = "
     fall into ranges (which grow with the score's size), whose sums are added up first, so that no task orders all the
     distinct scores of a group.  Rows without a label or score are left out.
     """
-    s = F.col(score)
-    place = F.floor(F.signum(s) * F.log2(1 + F.abs(s)) * 1024).cast("bigint").alias("_r")
-    counts = rows.where(s.isNotNull() & F.col(label).isNotNull()).groupBy(*by, place, s.alias("_s")).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_n"))
+    s = F.col("_s")
+    counts = rows.groupBy(*by, F.col(score).alias("_s")).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_n"))
+    counts = counts.select(*by, "_s", *[F.when(s.isNotNull(), F.col(n)).otherwise(0).alias(n) for n in ("_p", "_n")])  # a filter would work the scores out twice
+    counts = counts.withColumn("_r", F.floor(F.signum(s) * F.log2(1 + F.abs(s)) * 1024).cast("bigint"))
     before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
     inside = counts.withColumn("_below", F.coalesce(F.sum("_n").over(before(*by, "_r", "_s")), F.lit(0)))
     ranges = inside.groupBy(*by, "_r").agg(F.sum(F.col("_p") * (F.col("_below") + F.col("_n") / 2)).alias("_won"), F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
@@ -112,11 +113,11 @@ def bootstrap_auc(rows: DataFrame, by: list[str], resamples: int = 1000, seed: i
     never drawn one by one.  Scores are rounded to ``places``, which bounds what a group's task holds (20,002 counts for
     scores from 0 to 1).  Resamples of one class are left out; a group that has no other gives nulls.
     """
-    counts = rows.where(F.col(score).isNotNull() & F.col(label).isin(0, 1)).groupBy(*by, F.round(score, places).alias("_s")).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_n"))
+    counts = rows.groupBy(*by, F.round(score, places).alias("_s")).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_n"))
     kinds = ", ".join(f"`{k}` {counts.schema[k].dataType.simpleString()}" for k in by)
 
     def intervals(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_s")
+        keys, group = [group[k].iloc[0] for k in by], group.dropna(subset=["_s"]).sort_values("_s")
         cells = np.concatenate([group["_p"].to_numpy(), group["_n"].to_numpy()])
         half, rng, values = len(group), np.random.default_rng(seed), []
 
@@ -124,12 +125,12 @@ def bootstrap_auc(rows: DataFrame, by: list[str], resamples: int = 1000, seed: i
             p, n = drawn[:half], drawn[half:]
             return (p * (np.cumsum(n) - n / 2)).sum() / (p.sum() * n.sum()) if p.any() and n.any() else None
 
-        for _ in range(resamples):
+        for _ in range(resamples if cells.any() else 0):
             values.append(auc(rng.multinomial(cells.sum(), cells / cells.sum())))
         values = sorted(v for v in values if v is not None)
         last = len(values) - 1
         ends = (values[math.floor(alpha / 2 * last)], values[math.ceil((1 - alpha / 2) * last)]) if values else (None, None)
-        return pd.DataFrame([(*group.iloc[0][by], auc(cells), *ends)], columns=[*by, "auc", "low", "high"])
+        return pd.DataFrame([(*keys, auc(cells), *ends)], columns=[*by, "auc", "low", "high"])
 
     return counts.groupBy(*by).applyInPandas(intervals, f"{kinds}, auc double, low double, high double")
 

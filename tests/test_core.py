@@ -119,7 +119,8 @@ def test_bootstrap_and_report(spark):
     ranking = metrics.report(frame.withColumn("score", F.col("score") * 7), ["g"], "q", None)
     assert ranking.columns == ["g", "n", "auc", "query_auc"] and abs(ranking.first().auc - r.auc) < 1e-9
     one = metrics.bootstrap_auc(frame.where("label = 1"), ["g"], 5).first()
-    assert (one.auc, one.low, one.high) == (None, None, None) and metrics.bootstrap_auc(frame.limit(0), ["g"]).count() == 0
+    none = metrics.bootstrap_auc(frame.withColumn("score", F.lit(None).cast("double")), ["g"], 5).first()
+    assert (one.auc, one.low, one.high) == (none.auc, none.low, none.high) == (None, None, None) and metrics.bootstrap_auc(frame.limit(0), ["g"]).count() == 0
 
 
 def test_labelling_run(spark):
