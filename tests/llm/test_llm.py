@@ -1,9 +1,11 @@
 import random
 import re
+import tracemalloc
 import unicodedata
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -265,6 +267,26 @@ def test_sketch_grows_with_the_input():
     assert (near_duplicates._counts_of(near_duplicates._counted(part)) == part).all()
 
 
+def test_a_block_of_long_columns_needs_bounded_memory():
+    entries, rng = 40 * 900, np.random.default_rng(5)
+    token, row = np.repeat(np.arange(40, dtype=np.uint64), 900), np.tile(np.arange(900), 40)
+    columns = (token, row, np.zeros(entries, np.int64), np.full(entries, 60, np.int32), np.full(entries, 3, np.int32), np.zeros(entries, np.uint8))
+    parts = np.array_split(rng.permutation(entries), 5)
+    batches = [pa.record_batch({"part": pa.array([0], pa.int32()), "blob": pa.array([near_duplicates.sh.pack(*(c[p] for c in columns))], pa.binary())}) for p in parts]
+    tracemalloc.start()
+    total, emitted = Counter(), 0
+    for batch in near_duplicates._multiply(0.6, 3)(iter(batches)):
+        a, b, count = near_duplicates.sh.unpack_all(batch.column(1).to_pylist(), np.int64, np.int64, np.uint16)
+        assert (a < b).all()
+        emitted += int(count.sum())
+        for x, y, n in zip(a[:50].tolist(), b[:50].tolist(), count[:50].tolist(), strict=True):
+            total[x, y] += n
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert emitted == 40 * 900 * 899 // 2 and max(total.values()) <= 40
+    assert peak < 200, f"{peak:.0f} MB"
+
+
 def test_counts_are_added_up_in_more_partitions(spark):
     rng = random.Random(31)
     pairs = [(rng.randrange(50), 100 + rng.randrange(50)) for _ in range(4000)]
