@@ -82,7 +82,8 @@ class Bm25:
         docs = self._docs().withColumn("split", F.lit(""))
         best, weights = best_records(written(sets, "sets"), docs, k, k1=self.k1, b=self.b)
         order = Window.partitionBy("qid").orderBy("less", "pid")
-        ranked = asked.select("qid", "key").join(best, "key").withColumn("rank", F.row_number().over(order))
+        found = best.sets.join(best.lists, "known").select("key", F.explode("best").alias("x")).select("key", "x.less", "x.pid")
+        ranked = asked.select("qid", "key").join(found, "key").withColumn("rank", F.row_number().over(order))
         return ranked.select("qid", "rank", "pid", (-F.col("less")).alias("bm25")), weights.select("term", "idf")
 
 

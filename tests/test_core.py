@@ -325,6 +325,27 @@ def test_hard_negatives_count_every_posting_of_frequent_terms(spark, monkeypatch
         assert found == {q: p for q, p in expected.items() if p}
 
 
+def test_sets_that_differ_by_unknown_terms_are_looked_up_once(spark):
+    rng = random.Random(8)
+    usual, rare = [f"bail{k}x" for k in range(5)], [f"nom{k}x" for k in range(60)]
+    rows = [(f"d{k:03d}", "train", " ".join(rng.choices(usual, k=rng.randrange(2, 9)) + rng.choices(rare, k=rng.randrange(3)))) for k in range(500)]
+    asked = [sorted({*rng.sample(usual, rng.randrange(4)), *rng.sample(rare, rng.randrange(3)), f"numéro{k}"}) for k in range(120)]
+    docs = spark.createDataFrame([(p, s, t.split()) for p, s, t in rows], "pid string, split string, terms array<string>")
+    sets = spark.createDataFrame([(k, "train", t) for k, t in enumerate(asked)], "key long, split string, terms array<string>")
+    texts = {p: t for p, _, t in rows}
+    for few, block, group, entries in ((10**6, 10**6, 10**6, 50), (0, 60, 30, 1)):  # in one block, and in a grid with the terms joined
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(retrieval, "_KNOWN", few)
+            m.setattr(retrieval, "_WAITING", 30)
+            best, _ = retrieval.best_records(sets, docs, 7, 20, entries, block, group)
+            found = best.sets.join(best.lists, "known").collect()
+            assert best.lists.count() < len(found)
+        got = {r.key: [(x.pid, -x.less) for x in r.best] for r in found}
+        for k, query in enumerate(asked):
+            scores = brute_bm25(texts, " ".join(query), {t: t.split() for t in (" ".join(query), *texts.values())})
+            assert got.get(k, []) == [(p, pytest.approx(scores[p], abs=2e-9)) for p in sorted(scores, key=lambda p: (-round(scores[p], 9), p))[:7]]
+
+
 def test_every_record_gets_a_random_negative(spark):
     rows = [(f"d{k}", "train" if k < 12 else "val", f"titre {k % 5}" if k < 12 else "seul", None if k % 3 == 0 else f"cour {k % 2}") for k in range(14)]
     records = spark.createDataFrame(rows, "doc_id string, split string, title string, jurisdiction string")
