@@ -292,6 +292,20 @@ def test_training_pairs(spark):
     assert build_pairs(records.limit(0)).count() == 0
 
 
+def test_pairs_are_numbered_without_their_contents(spark, monkeypatch):
+    rows = [(f"d{k:02d}", ("train", "val")[k % 3 == 0], f"cour {k % 2}", f"bail {k}", f"bail résilié numéro {k}", k % 4) for k in range(24)]
+    records = spark.createDataFrame(rows, "doc_id string, split string, jurisdiction string, title string, content string, category int")
+    write, columns = training_pairs.written, {}
+    monkeypatch.setattr(training_pairs, "written", lambda df, name: columns.update({name: df.columns}) or write(df, name))
+    pairs = build_pairs(records)
+    assert "content" not in columns["pairs"] and "content" not in columns["queries"]
+    assert pairs.columns == ["split", "query", "content", "label", "type", "category", "doc_id", "pair_id"]
+    held = {r[0]: (r[1], r[4], r[5]) for r in rows}
+    got = pairs.collect()
+    assert len(got) == 72 and all(held[p.doc_id] == (p.split, p.content, p.category) for p in got)
+    assert sorted(p.pair_id for p in got if p.split == "val") == [f"val-{k:08d}" for k in range(24)]
+
+
 def test_queries_of_frequent_terms_get_a_hard_negative(spark):
     rows = [(f"d{k:03d}", "train", f"bail {k}", "bail commercial résilié " * (1 + k % 7), "cour") for k in range(90)]
     records = spark.createDataFrame(rows, "doc_id string, split string, title string, content string, jurisdiction string")
