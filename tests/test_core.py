@@ -6,6 +6,7 @@ import re
 import unicodedata
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -360,6 +361,37 @@ def test_sets_that_differ_by_unknown_terms_are_looked_up_once(spark):
             assert got.get(k, []) == [(p, pytest.approx(scores[p], abs=2e-9)) for p in sorted(scores, key=lambda p: (-round(scores[p], 9), p))[:7]]
 
 
+def test_sums_of_common_terms_go_on_from_those_of_the_last_set():
+    rng = random.Random(11)
+    records, k, of = 400, 5, [sorted(rng.sample(range(400), rng.choice((0, 3, 40, 350)))) for _ in range(12)]
+    weight = [[rng.choice((0.5, 1.0, rng.random())) for _ in x] for x in of]
+    edge = np.cumsum([0, *map(len, of)])
+    sums = retrieval._Sums(records, k, edge, np.array(sum(of, []), np.int32), np.array(sum(weight, [])))
+    added, whole = [], retrieval._Sums._add
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(retrieval._Sums, "_add", lambda self, term, idf: added.append(term) or whole(self, term, idf))
+        for terms in sorted([*rng.sample(range(12), rng.randrange(6))] for _ in range(200)):
+            sums.turn_to(terms, [1.0 + t for t in terms])
+            score = np.zeros(records)
+            for t in terms:
+                score[of[t]] += (1.0 + t) * np.array(weight[t])
+            assert np.array_equal(sums.score, score)  # what is taken back leaves no trace
+            first = sorted(np.flatnonzero(score), key=lambda x: (-round(score[x], 9), x))[:k]
+            assert sums.best[-1][0].tolist() == first and sums.best[-1][1].tolist() == score[first].tolist()
+    begun = len(added)
+    sums.turn_to([0, 1, 2], [1.0] * 3)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(retrieval._Sums, "_add", lambda self, term, idf: added.append(term) or whole(self, term, idf))
+        sums.turn_to([0, 1, 3], [1.0] * 3)
+    assert begun and added[begun:] == [3]
+
+
+def test_texts_are_cleaned_once(spark):
+    frame = spark.createDataFrame([(1, "Cour", "Titre long", "mot " * 20)], "i int, jurisdiction string, title string, content string")
+    plan = clean_records(frame, "i")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("http") == 3  # court, title, content
+
+
 def test_every_record_gets_a_random_negative(spark):
     rows = [(f"d{k}", "train" if k < 12 else "val", f"titre {k % 5}" if k < 12 else "seul", None if k % 3 == 0 else f"cour {k % 2}") for k in range(14)]
     records = spark.createDataFrame(rows, "doc_id string, split string, title string, jurisdiction string")
